@@ -23,7 +23,7 @@ TREES, SAMPLE, DEPTH, SEED = 32, 128, 7, 20_240_101
 #: Rows judged in one task, and readings on either side that make the level.
 SHARD_ROWS, SIDE = 150_000, 5
 STUCK_RUN, SPIKE_DAYS, SPIKE_MADS = 5, 3, 20.0
-#: Rows scoring below this quantile of their series' days are no candidates for a spike or stuck run.
+#: Rows scoring below this quantile of their series' days are no candidates for a spike. Limits and stuck runs are explicit rules and need no nomination.
 CANDIDATE_QUANTILE = 0.5
 
 _OUT = "bar_id bigint, exchange string, symbol string, day date, score double, candidate boolean, stuck boolean, spike boolean"
@@ -213,7 +213,7 @@ def judge(days: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> tuple[np.
             candidate = score >= np.quantile(forest.score(own), CANDIDATE_QUANTILE)
             stuck = np.any([fields[f].run_length(rows["day"], rows[f]) >= STUCK_RUN for f in STUCK_FIELDS], axis=0)
             spike = np.any([fields[f].spike(rows["day"], rows[f]) for f in FIELDS], axis=0)
-    return score, candidate, stuck & candidate, spike & candidate
+    return score, candidate, stuck, spike & candidate
 
 
 def _group(left: pa.Table, right: pa.Table) -> pa.Table:
