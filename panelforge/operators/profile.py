@@ -216,6 +216,7 @@ def numeric_profile(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
         F.sum("n").alias("n_values"), F.sum("n_distinct").alias("n_distinct"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("top").alias("top"),
         *[F.max(q).alias(q) for q in ("q25", "q50", "q75")], F.greatest(F.max("up"), F.max("down")).alias("d"), F.max("prev").alias("ks_prev"),
     )
+    per = materialize(per, "profile")  # a row a column and load; read twice from here on
     everything = per.groupBy("column_name").agg(F.sum("n_values").alias("_all"))
     per = per.join(F.broadcast(everything), "column_name")  # one row a column
     floats = [c for c in columns if kinds[c] == "f"]
@@ -297,6 +298,7 @@ def drifted(profiled: DataFrame, load: str, more: float = 0.1, more_whole: float
     any value in a load leaves by its missing share.
     """
     watched = {"missing_share": more, "negative_share": more, "zero_share": more, "bad_share": more, "top_share": more, "whole_share": more_whole}
+    profiled = materialize(profiled, "profiled")  # a row a column and load; it is read twice
     usual = profiled.groupBy("column_name").agg(*[F.expr(f"percentile({k}, 0.5)").alias(f"usual_{k}") for k in [*watched, "median"]])
     x = profiled.join(F.broadcast(usual), "column_name")  # one row a column
     leaves = [F.coalesce(F.col(k) >= F.coalesce(F.col(f"usual_{k}"), F.lit(0.0)) + least, F.lit(False)) for k, least in watched.items()]
