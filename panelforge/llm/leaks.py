@@ -25,8 +25,10 @@ SEED_WORDS = 3
 #: A seed is rare if at most this share of the pages (or so many pages) holds it, or if it is among this share of its item's
 #: seeds that are rarest: an item that stands on very many pages keeps seeds.
 RARE_SHARE, RARE_LEAST, RAREST = 0.0005, 8, 0.4
-#: Rare seeds of one item near one diagonal that make a candidate.
-MIN_SEEDS, BAND = 2, 40
+#: Places of a passage hit near one diagonal, and rare seeds among them, that make a candidate; words around it that are aligned.
+MIN_HITS, MIN_SEEDS, BAND, MARGIN = 6, 2, 14, 70
+#: Words whose shapes a task remembers.
+MOST_KNOWN = 300_000
 #: Words of the passage that make a case. As many words at the stretch's ends may be unreadable.
 CASE_WORDS, EDGE_WORDS = 20, 1
 #: Letters of a word that may be misread, and the words of an inserted stretch of other matter.
@@ -68,19 +70,29 @@ def seeds(texts: dict[int, list[str]]) -> dict[tuple, list[tuple[int, int]]]:
     return dict(out)
 
 
-def _masks(words: list[str], known: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter pairs of each word as bits of 128 hashed ones in two integers, for counting common pairs at once."""
-    lo, hi = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-    for i, w in enumerate(words):
-        m = known.get(w)
-        if m is None:
-            bits = 0
-            p = f" {w} "
-            for a, b in zip(p, p[1:], strict=False):
-                bits |= 1 << ((ord(a) * 31 + ord(b) * 7) % 127)
-            m = known[w] = (bits & (2**64 - 1), bits >> 64)
-        lo[i], hi[i] = m
-    return lo, hi
+class Shapes:
+    """Words as numbers: a code equal for equal words, their length, and their letter pairs as bits of two integers."""
+
+    def __init__(self, words: list[str], known: dict):
+        shapes = []
+        for w in words:
+            m = known.get(w)
+            if m is None:
+                bits, p = 0, f" {w} "
+                for x, y in zip(p, p[1:], strict=False):
+                    bits |= 1 << ((ord(x) * 31 + ord(y) * 7) % 127)
+                m = known[w] = (len(known), len(w), bits & (2**64 - 1), bits >> 64, bits.bit_count())
+            shapes.append(m)
+        cols = list(zip(*shapes, strict=True)) if shapes else [[]] * 5
+        self.words = words
+        self.code, self.length, self.pairs = (np.array(cols[i], np.int64) for i in (0, 1, 4))
+        self.lo, self.hi = np.array(cols[2], np.uint64), np.array(cols[3], np.uint64)
+
+    def part(self, a: int, z: int) -> Shapes:
+        out = object.__new__(Shapes)
+        out.words = self.words[a:z]
+        out.code, out.length, out.pairs, out.lo, out.hi = (x[a:z] for x in (self.code, self.length, self.pairs, self.lo, self.hi))
+        return out
 
 
 def edits(a: str, b: str, most: int) -> bool:
@@ -96,28 +108,27 @@ def edits(a: str, b: str, most: int) -> bool:
     return most > 0 and (edits(a[1:], b[1:], most - 1) or edits(a[1:], b, most - 1) or edits(a, b[1:], most - 1))
 
 
-def similarity(a: list[str], b: list[str], known: dict) -> np.ndarray:
+def similarity(a: Shapes, b: Shapes, alike: dict) -> np.ndarray:
     """Of each word of ``a`` with each of ``b``: 1 if equal, ALIKE if a few letters apart, else 0.
 
     Words of four letters may be one edit apart, of nine two. Shared letter
     pairs, counted for all pairs of words at once, leave few to compare.
     """
-    (al, ah), (bl, bh) = _masks(a, known), _masks(b, known)
-    na, nb = (np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y) for x, y in ((al, ah), (bl, bh)))
-    common = np.bitwise_count(al[:, None] & bl[None]).astype(np.int16) + np.bitwise_count(ah[:, None] & bh[None])
-    number = {w: k for k, w in enumerate({*a, *b})}
-    out = (np.array([number[w] for w in a])[:, None] == np.array([number[w] for w in b])[None]).astype(float)
-    la, lb = (np.array([len(w) for w in x]) for x in (a, b))
-    most = np.where(np.minimum(la[:, None], lb[None]) >= 9, 2, 1)
-    # an edit spoils two letter pairs of a word
-    maybe = (np.maximum(na[:, None], nb[None]) - common <= 2 * most) & (np.minimum(la[:, None], lb[None]) >= 4) & (np.abs(la[:, None] - lb[None]) <= most) & (out == 0)
-    for i, j in zip(*np.nonzero(maybe), strict=True):
-        pair = (a[i], b[j])
-        alike = known.get(pair)
-        if alike is None:
-            alike = known[pair] = edits(*pair, int(most[i, j]))
-        if alike:
-            out[i, j] = ALIKE
+    out = (a.code[:, None] == b.code[None]).astype(np.float64)
+    i, j = np.flatnonzero(a.length >= 4), np.flatnonzero(b.length >= 4)
+    if len(i) and len(j):
+        common = np.bitwise_count(a.lo[i][:, None] & b.lo[j][None]) + np.bitwise_count(a.hi[i][:, None] & b.hi[j][None])
+        most = np.where((a.length[i] >= 9)[:, None] & (b.length[j] >= 9)[None], np.int8(4), np.int8(2))  # an edit spoils two letter pairs
+        near = np.maximum(a.pairs[i].astype(np.int8)[:, None], b.pairs[j].astype(np.int8)[None]) - common.astype(np.int8) <= most
+        for x, y in zip(*(k.tolist() for k in np.nonzero(near)), strict=True):
+            x, y = int(i[x]), int(j[y])
+            if out[x, y] == 0:
+                v, w = a.words[x], b.words[y]
+                same = alike.get((v, w))
+                if same is None:
+                    same = alike[(v, w)] = edits(v, w, 2 if min(len(v), len(w)) >= 9 else 1)
+                if same:
+                    out[x, y] = ALIKE
     return out
 
 
@@ -128,9 +139,9 @@ def word_weights(texts: dict[int, list[str]]) -> dict[str, float]:
     return {x: max(0.05, float(np.log((1 + len(different)) / n))) for x, n in holders.items()}
 
 
-def align(passage: list[str], weight: np.ndarray, page: list[str], known: dict) -> np.ndarray:
+def align(passage: Shapes, weight: np.ndarray, page: Shapes, alike: dict) -> np.ndarray:
     """Smith-Waterman: for each word of the passage the matching word's position on the page, or -1."""
-    s = similarity(passage, page, known)
+    s = similarity(passage, page, alike)
     n, m = s.shape
     lost = -LOST * weight - MISS
     gain = np.where(s > 0, weight[:, None] * s, lost[:, None])
@@ -220,13 +231,22 @@ class Search:
         self.seeds = seeds(self.words)
         weights = word_weights(self.words)
         self.weight = {i: np.array([weights[x] for x in w]) for i, w in self.words.items()}
+        self.sizes = {len(g) for g in self.seeds}
         self.numbers = {g: n for n, g in enumerate(sorted(self.seeds))}
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, tuple] = {}
+        self.alike: dict[tuple[str, str], bool] = {}
+        self.shape = {i: Shapes(w, self.known) for i, w in self.words.items()}
+        self.passage_words = len(self.known)
+
+    def forget(self) -> None:
+        """Keep the words of the passages only, once there are very many others."""
+        if len(self.known) > MOST_KNOWN:
+            self.known = dict(list(self.known.items())[: self.passage_words])
 
     def hits(self, page: list[str]) -> list[tuple[int, int]]:
         """Seed number and position of every seed on a page."""
         found, numbers = [], self.numbers
-        for size in {len(g) for g in self.seeds}:
+        for size in self.sizes:
             grams = zip(*[page[k:] for k in range(size)], strict=False)
             found += [(n, p) for p, g in enumerate(grams) if (n := numbers.get(g)) is not None]
         return found
@@ -243,29 +263,70 @@ class Search:
             keep.update(numbers[: max(MIN_SEEDS, int(RAREST * len(numbers)))])
         return set(range(len(self.numbers))) - keep
 
-    def candidates(self, hits: list[tuple[int, int]], rare: np.ndarray, by_number: list[tuple]) -> list[int]:
-        """Items with MIN_SEEDS rare seeds within BAND of one diagonal (one is enough for a passage of that size)."""
-        diagonals = defaultdict(set)
+    def candidates(self, hits: list[tuple[int, int]], rare: np.ndarray, by_number: list[tuple]) -> dict[int, list[list[int]]]:
+        """Items, and the stretches of the page near whose diagonal MIN_HITS places of the passage, MIN_SEEDS of them rare, are hit."""
+        near = defaultdict(list)
         for n, p in hits:
             if rare[n]:
                 for item, at in self.seeds[by_number[n]]:
-                    diagonals[item].add((p - at, at))
-        out = []
-        for item, points in diagonals.items():
-            need = min(MIN_SEEDS, max(1, len(self.words[item]) - SEED_WORDS + 1))
-            d = sorted(points)
-            if any(d[k + need - 1][0] - d[k][0] <= BAND for k in range(len(d) - need + 1)):
-                out.append(item)
+                    near[item].append(p - at)
+        points = {}
+        for item, diagonals in near.items():
+            diagonals.sort()
+            least = min(MIN_SEEDS, max(1, len(self.words[item]) - SEED_WORDS + 1))
+            if any(z - a <= BAND for a, z in zip(diagonals, diagonals[least - 1 :], strict=False)):
+                points[item] = []
+        if not points:
+            return {}
+        for n, p in hits:
+            for item, at in self.seeds[by_number[n]]:
+                if item in points:
+                    points[item].append((p - at, at, rare[n]))
+        out = {}
+        for item, d in points.items():
+            size = len(self.words[item])
+            need = min(MIN_HITS, max(1, size - SEED_WORDS + 1))
+            if len(d) < need:
+                continue
+            d.sort()
+            places, rares, lo, spans = Counter(), 0, 0, []
+            for diagonal, at, is_rare in d:
+                places[at] += 1
+                rares += is_rare
+                while diagonal - d[lo][0] > BAND:
+                    places[d[lo][1]] -= 1
+                    if not places[d[lo][1]]:
+                        del places[d[lo][1]]
+                    rares -= d[lo][2]
+                    lo += 1
+                if len(places) >= need and rares >= min(MIN_SEEDS, need):
+                    a, z = max(0, d[lo][0] - MARGIN), diagonal + size + MARGIN
+                    if spans and a <= spans[-1][1]:
+                        spans[-1][1] = max(z, spans[-1][1])
+                    else:
+                        spans.append([a, z])
+            if spans:
+                out[item] = spans
         return out
 
+    def held(self, item: int, page: Shapes, spans: list[list[int]]) -> int:
+        """Consecutive words of the item's passage that stand in one of the stretches."""
+        best, w = 0, self.words[item]
+        for a, z in spans:
+            part = page.part(a, z)
+            if len(self.alike) > 1_000_000:
+                self.alike.clear()
+            best = max(best, held_words(align(self.shape[item], self.weight[item], part, self.alike), w, part.words))
+        return best
+
 
 def _reader(items: list[tuple[int, str | None]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(items)
         for b in batches:
             ids, words, numbers = [], [], []
-            for doc, text, boxes in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("boxes").to_pylist(), strict=True):
-                page = page_words(text, boxes)
+            for doc, text, xs, ys in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "xs", "ys")), strict=True):
+                page = page_words(text, xs, ys)
                 hits = search.hits(page)
                 if hits:
                     ids.append(doc)
@@ -280,21 +341,20 @@ def _aligner(items: list[tuple[int, str | None]], frequent: set[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(items)
         by_number = sorted(search.seeds)
-        rare = np.ones(len(by_number), bool)
-        rare[list(frequent)] = False
+        rare = [n not in frequent for n in range(len(by_number))]
         for b in batches:
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("words").to_pylist(), strict=True):
-                page = text.split(" ")
+                words = text.split(" ")
+                found = search.candidates(search.hits(words), rare, by_number)
+                page = Shapes(words, search.known) if found else None
                 done: dict[tuple, int] = {}  # items of one passage are aligned once
-                for item in search.candidates(search.hits(page), rare, by_number):
-                    w = search.words[item]
-                    key = tuple(w)
+                for item, spans in found.items():
+                    key = tuple(search.words[item])
                     if key not in done:
-                        done[key] = held_words(align(w, search.weight[item], page, search.known), w, page)
-                    out.append((doc, item, done[key], needed(w)))
-                if len(search.known) > 200_000:
-                    search.known.clear()
+                        done[key] = search.held(item, page, spans)
+                    out.append((doc, item, done[key], needed(search.words[item])))
+                search.forget()
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "held", "needed"])
 
@@ -316,8 +376,7 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     kept = [(r[0], r[1]) for r in items.select("item_id", "passage").limit(MAX_ITEMS + 1).collect()]
     if len(kept) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items; search them in parts")
-    slim = F.transform("line_boxes", lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0")))
-    pages = docs.select(F.col("doc_id").cast("long"), "text", slim.alias("boxes"))
+    pages = docs.select(F.col("doc_id").cast("long"), "text", F.col("line_boxes.x0").alias("xs"), F.col("line_boxes.y0").alias("ys"))
     read = materialize(pages.filter(F.length(F.trim("text")) > 0).mapInArrow(_reader(kept), "doc_id long, words string, seeds array<int>"), "pages")
     # one row a seed of the fixed items, so at most items x passage length
     pages_with = {r[0]: r[1] for r in read.select(F.explode("seeds").alias("seed")).groupBy("seed").count().collect()}

@@ -31,8 +31,8 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "line_end_share", "common_share")
 #: Folded words shorter than this are too easily met by chance.
 FOLDED_LENGTH = 3
-#: A page scoring at least this is nominated; an ordinary page of five statistics scores about five, one in a tail of 1/8 over two.
-NOMINATED = 1.0
+#: A page scoring at least this is nominated. Five tails each a chance of one half would score 3.5; lists, tables and junk score twice that.
+NOMINATED = 5.0
 #: Running text of a known language has at least these shares of common words: when misread letters are folded, and as they stand.
 #: (Names fold into common words by chance, but lists of names hold no common word as it stands.)
 PROSE_SHARE, PLAIN_SHARE, SURE_SHARE = 0.12, 0.03, 0.25
