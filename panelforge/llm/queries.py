@@ -49,11 +49,12 @@ _S = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_alignments, p8_found, p8_stats, p8_scores)}
 
 SQL = {
-    "p8_stats": rf"""WITH w AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^{_S}]+') AS ws,
-    list_filter(regexp_split_to_array(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[\n\r]'), lambda x: regexp_matches(x, '[^{_S}]')) AS ls FROM documents),
+    "p8_stats": rf"""WITH c AS (SELECT list(DISTINCT lower(word)) AS cw FROM common_words),
+  w AS (SELECT doc_id, text, cw, regexp_extract_all(coalesce(text, ''), '[^{_S}]+') AS ws,
+    list_filter(regexp_split_to_array(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '[\n\r]'), lambda x: regexp_matches(x, '[^{_S}]')) AS ls FROM documents, c),
   s AS (SELECT doc_id, len(ws) AS n_words, nullif(len(ws), 0)::DOUBLE AS n, list_sum(list_transform(ws, lambda x: length(x)))::DOUBLE AS chars,
     length(regexp_replace(text, '[\p{{L}}\p{{N}}{_S}]', '', 'g')) AS symbols,
     len(list_filter(ls, lambda x: regexp_matches(x, '[.!?;:,]["''\x{{201d}}\x{{201c}}\x{{bb}})]*[{_S}]*$'))) / nullif(len(ls), 0)::DOUBLE AS line_end_share,
-    len(list_filter(ws, lambda x: list_contains((SELECT list(lower(word)) FROM common_words), regexp_replace(lower(x), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')))) AS hits FROM w)
+    len(list_filter(ws, lambda x: list_contains(cw, regexp_replace(lower(x), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')))) AS hits FROM w)
   SELECT doc_id, n_words, round(chars / n, 9) AS mean_word_length, round(symbols / chars, 9) AS symbol_ratio, round(line_end_share, 9) AS line_end_share, round(hits / n, 9) AS common_share FROM s""",
 }
