@@ -160,8 +160,10 @@ class Field:
                 inside = (a >= 0) & (b < n)
                 lo, hi = np.clip(a, 0, n - 1), np.clip(b, 0, n - 1)
                 before, after = self.before[lo], self.after[hi]
-                up = inside & (x - before > far) & (x - after > far)
-                down = inside & (before - x > far) & (after - x > far)
+                # the readings next to the run are back at the level, else it lasts longer
+                left, right = self.log[np.clip(lo - 1, 0, n - 1)], self.log[np.clip(hi + 1, 0, n - 1)]
+                up = inside & (x - before > far) & (x - after > far) & (left - before <= far) & (right - after <= far)
+                down = inside & (before - x > far) & (after - x > far) & (before - left <= far) & (after - right <= far)
                 for k in range(length):  # the other days of the run are off as well
                     if k != offset:
                         y = self.log[np.clip(a + k, 0, n - 1)]
@@ -211,7 +213,9 @@ def judge(days: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> tuple[np.
             forest = Forest(own, np.random.default_rng(SEED))
             score = forest.score(feats(rows))
             candidate = score >= np.quantile(forest.score(own), CANDIDATE_QUANTILE)
-            stuck = np.any([fields[f].run_length(rows["day"], rows[f]) >= STUCK_RUN for f in STUCK_FIELDS], axis=0)
+            # a run counts as the days' first or last revisions have it
+            early = {f: Field(days["day"], days[f"first_{f}"]) for f in STUCK_FIELDS}
+            stuck = np.any([x[f].run_length(rows["day"], rows[f]) >= STUCK_RUN for f in STUCK_FIELDS for x in (fields, early)], axis=0)
             spike = np.any([fields[f].spike(rows["day"], rows[f]) for f in FIELDS], axis=0)
     return score, candidate, stuck, spike & candidate
 
@@ -219,11 +223,11 @@ def judge(days: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> tuple[np.
 def _group(left: pa.Table, right: pa.Table) -> pa.Table:
     """``left`` the days of one series, ``right`` one shard of its rows."""
     names = ["bar_id", "exchange", "symbol", "day", "score", "candidate", "stuck", "spike"]
-    arr = lambda t, c: t.column(c).to_numpy(zero_copy_only=False).astype(float if c in FIELDS else np.int64)
+    arr = lambda t, c: t.column(c).to_numpy(zero_copy_only=False).astype(np.int64 if c == "x" else float)
     if not right.num_rows:
         none = [pa.int64(), pa.string(), pa.string(), pa.date32(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_()]
         return pa.table([pa.array([], k) for k in none], names=names)
-    days = {c: arr(left, c) for c in ("x", *FIELDS)}
+    days = {c: arr(left, c) for c in ("x", *FIELDS, *(f"first_{f}" for f in STUCK_FIELDS))}
     order = np.argsort(days["x"], kind="stable")
     days = {"day" if c == "x" else c: v[order] for c, v in days.items()}
     rows = {"day" if c == "x" else c: arr(right, c) for c in ("x", *FIELDS)}
@@ -239,7 +243,7 @@ def flag(bars: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         quote_vol), doubles without NaN. Copies and revisions are rows of their
         own, judged by their own values; the series they are judged against
         holds, of each day and field, the value of the greatest load_id, then
-        bar_id, that has one.
+        bar_id, that has one (for stuck runs also that of the least).
 
     Missing values decide nothing; a series of one or two days has neither
     spikes nor stuck runs; ties in the order of revisions do not occur as
@@ -249,7 +253,8 @@ def flag(bars: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     rank = F.struct(F.coalesce("load_id", F.lit(-(2**31))), F.coalesce("bar_id", F.lit(-(2**63) + 1)))
     b = bars.withColumn("x", F.unix_date("day"))
     keys = ["exchange", "symbol"]
-    days = b.groupBy(*keys, "x").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), rank)).alias(f) for f in FIELDS])
+    have = lambda f: F.when(F.col(f).isNotNull(), rank)
+    days = b.groupBy(*keys, "x").agg(*[F.max_by(f, have(f)).alias(f) for f in FIELDS], *[F.min_by(f, have(f)).alias(f"first_{f}") for f in STUCK_FIELDS])
     # only series beyond one shard are listed: at most rows / shard_rows of them, a bound that needs no check
     hot = b.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > shard_rows).select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_n") / shard_rows).cast("int").alias("_shards"))
     same = F.col("exchange").eqNullSafe(F.col("_exchange")) & F.col("symbol").eqNullSafe(F.col("_symbol"))
@@ -259,7 +264,7 @@ def flag(bars: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     by = [*keys, "shard"]
     # fresh attributes on one side: both come from the same table
     rows = rows.select("bar_id", *[F.col(c).alias(c) for c in (*by, "x", *FIELDS)])
-    return spread.select(*by, "x", *FIELDS).groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(_group, _OUT)
+    return spread.select(*by, "x", *FIELDS, *[f"first_{f}" for f in STUCK_FIELDS]).groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(_group, _OUT)
 
 
 def flagged(bars: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
