@@ -245,13 +245,14 @@ def flag(bars: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         holds, of each day and field, the value of the greatest load_id, then
         bar_id, that has one (for stuck runs also that of the least).
 
-    Missing values decide nothing; a series of one or two days has neither
+    Missing values decide nothing; rows without a day are no readings (the
+    limits of ``flagged`` still hold for them); a series of one or two days has neither
     spikes nor stuck runs; ties in the order of revisions do not occur as
     bar_id is unique. An empty table gives no rows, null keys form series of
     their own, further columns are not carried.
     """
     rank = F.struct(F.coalesce("load_id", F.lit(-(2**31))), F.coalesce("bar_id", F.lit(-(2**63) + 1)))
-    b = bars.withColumn("x", F.unix_date("day"))
+    b = bars.filter(F.col("day").isNotNull()).withColumn("x", F.unix_date("day"))
     keys = ["exchange", "symbol"]
     have = lambda f: F.when(F.col(f).isNotNull(), rank)
     days = b.groupBy(*keys, "x").agg(*[F.max_by(f, have(f)).alias(f) for f in FIELDS], *[F.min_by(f, have(f)).alias(f"first_{f}") for f in STUCK_FIELDS])

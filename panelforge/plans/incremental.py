@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import FeatureSpec, compute, to_long
@@ -47,16 +47,28 @@ def extra_days(params: dict) -> int:
     return 0
 
 
-def compute_range(panel: DataFrame, wanted: list[FeatureSpec], d0: str, d1: str, gap_factor: float = 2.0, slack_days: int = 30) -> DataFrame:
+def with_warmup(panel: DataFrame, d0: str, d1: str, rows: int) -> DataFrame:
+    """The rows of the days d0 to d1 and, of each asset, the ``rows`` rows before them.
+
+    Features count rows, so days that are missing make no difference. The date
+    where each asset's history starts is found from its keys alone.
+    """
+    lo, hi = F.lit(d0).cast("date"), F.lit(d1).cast("date")
+    if not rows:
+        return panel.filter((F.col("d") >= lo) & (F.col("d") <= hi))
+    back = F.row_number().over(Window.partitionBy("asset").orderBy(F.col("d").desc()))
+    start = panel.filter(F.col("d") < lo).select("asset", "d").withColumn("_k", back).filter(F.col("_k") <= rows).groupBy(F.col("asset").alias("_a")).agg(F.min("d").alias("_from"))
+    part = panel.filter(F.col("d") <= hi).join(start, F.col("asset").eqNullSafe(F.col("_a")), "left")
+    return part.filter(F.col("d") >= F.coalesce("_from", lo)).drop("_a", "_from")
+
+
+def compute_range(panel: DataFrame, wanted: list[FeatureSpec], d0: str, d1: str) -> DataFrame:
     """(ts, feature_id, version, asset, value) of the days d0 to d1, reading the rows before them that the features need.
 
-    A time filter can't pass below a window, so the scan is widened by the
-    greatest warm-up of ``wanted`` (in rows, so with room for missing days) and
-    trimmed after. Null values are dropped.
+    A time filter can't pass below a window, so the rows are widened by the
+    greatest warm-up of ``wanted`` and trimmed after. Null values are dropped.
     """
-    rows = max((s.warmup_rows for s in wanted), default=0)
-    lo = F.date_sub(F.lit(d0).cast("date"), int(rows * gap_factor) + slack_days)
-    part = panel.filter((F.col("d") >= lo) & (F.col("d") <= F.lit(d1).cast("date")))
+    part = with_warmup(panel, d0, d1, max((s.warmup_rows for s in wanted), default=0))
     long = to_long(compute(part, wanted), [s.id for s in wanted]).filter(F.col("d") >= F.lit(d0).cast("date"))
     version = F.create_map(*[x for s in wanted for x in (F.lit(s.id), F.lit(s.version))])
     return long.select(F.unix_micros(F.col("d").cast("timestamp")).alias("ts"), "feature_id", version[F.col("feature_id")].alias("version"), "asset", "value")

@@ -77,7 +77,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return keyed(table(spark, d, "ohlcv_1d"), "bar_id", "load_id", *spikes.FIELDS)
+    return keyed(table(spark, d, "ohlcv_1d"), "bar_id", "load_id", *spikes.FIELDS, undated=True)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -134,7 +134,7 @@ SQL: dict[str, str] = {
     "ic_daily": f"{IC} SELECT feature_id, h, {_D}, round(ic, 6) AS ic FROM ic",
     "ic_summary": IC + _summary(6),
     "ic_rolling63": f"""{IC}, hv AS (SELECT * FROM ic WHERE ic IS NOT NULL), ro AS (SELECT feature_id, h, d, {roll("ic", 63, "avg", 20, "PARTITION BY feature_id, h ORDER BY d")} AS m, {roll("ic", 63, "stddev_samp", 20, "PARTITION BY feature_id, h ORDER BY d")} AS sd FROM hv)
-  SELECT feature_id, h, {_D}, round(m, 6) AS ic_roll, round(m / nullif(sd, 0), 6) AS icir_roll FROM ro""",
+  SELECT feature_id, h, {_D}, round(m, 9) AS ic_roll, round(m / nullif(sd, 0), 9) AS icir_roll FROM ro""",
     "ic_monthly": f"""{IC}, mo AS (SELECT feature_id, h, date_trunc('month', d) AS month, avg(ic) AS ic FROM ic GROUP BY 1, 2, 3), sp AS (SELECT feature_id, h, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM mo GROUP BY 1, 2)
   SELECT sp.feature_id, sp.h, strftime(sp.month, '%Y-%m') AS month, round(mo.ic, 6) AS ic FROM sp LEFT JOIN mo ON sp.feature_id = mo.feature_id AND sp.h = mo.h AND sp.month = mo.month""",
     "ic_hist": f"""{IC}, hv AS (SELECT feature_id, h, round(ic, 9) AS ic FROM ic WHERE ic IS NOT NULL), lo AS (SELECT *, min(ic) OVER w AS a, max(ic) OVER w AS z FROM hv WINDOW w AS (PARTITION BY feature_id, h))
@@ -177,7 +177,7 @@ SQL: dict[str, str] = {
   SELECT asset, round(avg(lr) * 365, 4) AS ann_return, round(stddev_samp(lr) * sqrt(365), 4) AS ann_vol, round({_SHARPE.format('lr', 365)}, 4) AS sharpe, round(min(dd), 4) AS max_drawdown,
   round(max_by(close, d) FILTER (close IS NOT NULL) / nullif(min_by(close, d) FILTER (close IS NOT NULL), 0) - 1, 4) AS total_return, round(avg(volume), 4) AS avg_volume FROM x GROUP BY 1""",
     "skew_kurt": f"{F} SELECT asset, round(skewness(ret_1d), 4) AS skew, round(kurtosis(ret_1d), 4) AS kurtosis FROM f GROUP BY 1",
-    "store_load_slice": f"SELECT ts, {_NN('value')} AS value FROM features WHERE feature_id = 'ret_1d' AND version = 'v1' AND asset = (SELECT min(asset) FROM features) AND ts >= epoch_us(TIMESTAMP '2024-01-01') AND ts < epoch_us(TIMESTAMP '2024-07-01')",
+    "store_load_slice": f"SELECT ts, {_NN('value')} AS value FROM features WHERE version = 'v1' AND (feature_id, asset) = (SELECT (feature_id, asset) FROM features WHERE version = 'v1' ORDER BY feature_id, asset LIMIT 1) AND ts >= epoch_us(TIMESTAMP '2024-01-01') AND ts < epoch_us(TIMESTAMP '2024-12-31')",
     "store_sql_agg": f"SELECT feature_id, asset, count(*) AS n, round(avg({_NN('value')}), 6) AS mean FROM features WHERE version = 'v1' GROUP BY 1, 2",
     "plan_missing": f"{P} SELECT a.asset, strftime(g.day, '%Y-%m-%d') AS day FROM {_QUARTER} WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.asset = a.asset AND p.d = g.day)",
     "coverage_gate": f"{P}, c AS (SELECT a.asset, count(*) AS planned, count(*) FILTER (p.asset IS NULL) AS missing FROM {_QUARTER} LEFT JOIN p ON p.asset = a.asset AND p.d = g.day GROUP BY 1) SELECT *, missing = 0 AS complete FROM c",

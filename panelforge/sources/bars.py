@@ -38,15 +38,16 @@ def symbol_key(s: Column) -> Column:
     return F.upper(F.trim(s))
 
 
-def keyed(bars: DataFrame, *keep: str) -> DataFrame:
-    """(exchange, symbol, day) and the columns ``keep``, doubles with NaN as null; rows without a time have no day and fall out."""
+def keyed(bars: DataFrame, *keep: str, undated: bool = False) -> DataFrame:
+    """(exchange, symbol, day) and the columns ``keep``, doubles with NaN as null; rows without a time have no day and fall out unless ``undated``."""
     doubles = {f.name for f in bars.schema if f.dataType.typeName() == "double"}
-    return bars.select(
+    out = bars.select(
         "exchange",
         symbol_key(F.col("symbol")).alias("symbol"),
         bar_day(F.col("ts_open")).alias("day"),
         *[(clean(F.col(c)) if c in doubles else F.col(c)).alias(c) for c in keep],
-    ).filter(F.col("day").isNotNull())
+    )
+    return out if undated else out.filter(F.col("day").isNotNull())
 
 
 def latest_per_day(bars: DataFrame, *values: str) -> DataFrame:
