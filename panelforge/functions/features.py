@@ -28,6 +28,8 @@ class FeatureSpec:
     params: dict = field(default_factory=dict)
     first: Layer = lambda p: {}
     second: Layer = lambda p: {}
+    #: Columns of these layers and the windows of their rolling scores.
+    scores: Callable[[dict], dict[str, tuple[int, ...]]] = lambda p: {}
     #: Rows before a value can come, from the parameters.
     warmup: Callable[[dict], int] = lambda p: 0
     source: str = "ohlcv_1d"
@@ -72,8 +74,8 @@ _SPECS = [
     ),
     FeatureSpec("funding_zscore_14d", "derivatives", ("funding_rate",), lambda p: k.zscore(_c("funding_rate"), p["lookback_d"]), {"lookback_d": 14}, warmup=lambda p: p["lookback_d"] - 1, source="derivative_ticker"),
     FeatureSpec(
-        "rel_mom_20d", "momentum", ("close",), lambda p: k.zscore(_c(f"_pc_{p['window_mom']}"), p["window_norm"]), {"window_mom": 20, "window_norm": 252},
-        lambda p: {f"_pc_{p['window_mom']}": k.change(_c("close"), p["window_mom"])}, warmup=lambda p: p["window_mom"] + p["window_norm"] - 1,
+        "rel_mom_20d", "momentum", ("close",), lambda p: k.ready_zscore(f"_pc_{p['window_mom']}", p["window_norm"]), {"window_mom": 20, "window_norm": 252},
+        lambda p: {f"_pc_{p['window_mom']}": k.change(_c("close"), p["window_mom"])}, scores=lambda p: {f"_pc_{p['window_mom']}": (p["window_norm"],)}, warmup=lambda p: p["window_mom"] + p["window_norm"] - 1,
     ),
     FeatureSpec("reversal_5d", "momentum", ("close",), lambda p: -k.change(_c("close"), p["window_d"]), {"window_d": 5}, warmup=lambda p: p["window_d"]),
     FeatureSpec(
@@ -81,25 +83,25 @@ _SPECS = [
         lambda p: {"_taker": k.div(_c("taker_buy_vol"), F.nullif(_c("volume"), F.lit(0.0)))}, warmup=lambda p: p["window_d"] - 1,
     ),
     FeatureSpec(
-        "risk_adj_ret_20d", "momentum", ("close",), lambda p: k.zscore(_c(f"_risk_{p['window_ret']}"), p["window_norm"]), {"window_ret": 20, "window_norm": 252},
+        "risk_adj_ret_20d", "momentum", ("close",), lambda p: k.ready_zscore(f"_risk_{p['window_ret']}", p["window_norm"]), {"window_ret": 20, "window_norm": 252},
         lambda p: _lr(p) | {f"_pc_{p['window_ret']}": k.change(_c("close"), p["window_ret"])},
         lambda p: {f"_risk_{p['window_ret']}": k.div(_c(f"_pc_{p['window_ret']}"), k.spread(k.roll(_c("_lr"), p["window_ret"], F.stddev_samp) * math.sqrt(252)))},
-        warmup=lambda p: p["window_ret"] + p["window_norm"] - 1,
+        scores=lambda p: {f"_risk_{p['window_ret']}": (p["window_norm"],)}, warmup=lambda p: p["window_ret"] + p["window_norm"] - 1,
     ),
     FeatureSpec(
-        "hl_range_20d", "volatility", ("close", "high", "low"), lambda p: k.zscore(_c(f"_hl_{p['window_d']}"), p["window_norm"]), {"window_d": 20, "window_norm": 252},
+        "hl_range_20d", "volatility", ("close", "high", "low"), lambda p: k.ready_zscore(f"_hl_{p['window_d']}", p["window_norm"]), {"window_d": 20, "window_norm": 252},
         lambda p: {"_hl": k.div(_c("high") - _c("low"), F.nullif(_c("close"), F.lit(0.0)))},
-        lambda p: {f"_hl_{p['window_d']}": k.roll(_c("_hl"), p["window_d"], F.avg)}, warmup=lambda p: p["window_d"] + p["window_norm"] - 2,
+        lambda p: {f"_hl_{p['window_d']}": k.roll(_c("_hl"), p["window_d"], F.avg)}, scores=lambda p: {f"_hl_{p['window_d']}": (p["window_norm"],)}, warmup=lambda p: p["window_d"] + p["window_norm"] - 2,
     ),
     FeatureSpec("dist_from_high_20d", "momentum", ("close",), lambda p: k.div(_c("close"), k.roll(_c("close"), p["window_d"], F.max)) - 1, {"window_d": 20}, warmup=lambda p: p["window_d"] - 1),
     FeatureSpec(
-        "vol_ratio_20d", "microstructure", ("volume",), lambda p: k.zscore(_c(f"_vr_{p['window_d']}"), p["window_norm"]), {"window_d": 20, "window_norm": 252},
-        second=lambda p: {f"_vr_{p['window_d']}": k.div(_c("volume"), F.nullif(k.roll(_c("volume"), p["window_d"], F.avg), F.lit(0.0)))}, warmup=lambda p: p["window_d"] + p["window_norm"] - 2,
+        "vol_ratio_20d", "microstructure", ("volume",), lambda p: k.ready_zscore(f"_vr_{p['window_d']}", p["window_norm"]), {"window_d": 20, "window_norm": 252},
+        second=lambda p: {f"_vr_{p['window_d']}": k.div(_c("volume"), F.nullif(k.roll(_c("volume"), p["window_d"], F.avg), F.lit(0.0)))}, scores=lambda p: {f"_vr_{p['window_d']}": (p["window_norm"],)}, warmup=lambda p: p["window_d"] + p["window_norm"] - 2,
     ),
     FeatureSpec("trades_zscore_20d", "microstructure", ("n_trades",), lambda p: k.zscore(_c("n_trades").cast("double"), p["window_d"]), {"window_d": 20}, warmup=lambda p: p["window_d"] - 1),
     FeatureSpec(
-        "zscore_ret_composite", "returns", ("close",), lambda p: k.mean_of([k.zscore(_c("_r1"), w) for w in p["windows"]]),
-        {"windows": (15, 30, 60, 80, 100, 150, 200, 250, 300)}, _r1, warmup=lambda p: max(p["windows"]),
+        "zscore_ret_composite", "returns", ("close",), lambda p: k.mean_of([k.ready_zscore("_r1", w) for w in p["windows"]]),
+        {"windows": (15, 30, 60, 80, 100, 150, 200, 250, 300)}, _r1, scores=lambda p: {"_r1": tuple(p["windows"])}, warmup=lambda p: max(p["windows"]),
     ),
     FeatureSpec("obi_0_5pct", "microstructure", ("bid_price_0", "ask_price_0", "bid_size_0", "ask_size_0"), _obi, {"depth_pct": 0.5}, source="book_snapshot_25"),
 ]
@@ -127,6 +129,11 @@ def compute(panel: DataFrame, wanted: list[FeatureSpec], keep: tuple[str, ...] =
             added |= getattr(s, layer)(s.params)
         if added:
             out = out.withColumns(added)
+    wanted_moments: dict[str, set[int]] = {}
+    for s in able:
+        for x, lengths in s.scores(s.params).items():
+            wanted_moments.setdefault(x, set()).update(n for n in lengths if n >= k.LONG)
+    out = k.with_block_moments(out, {x: ns for x, ns in wanted_moments.items() if ns})
     values = [s.value(s.params).alias(s.id) if s in able else F.lit(None).cast("double").alias(s.id) for s in wanted]
     return out.select(k.ASSET, k.TIME, *keep, *values)
 
