@@ -1,9 +1,11 @@
 """Statistics of each page's text, and the pages that are no running prose.
 
-The statistics of every page are ranked exactly inside its language and inside
-the corpus (range-partitioned sort with partition offsets); the empirical tail
-probabilities of all statistics combine into an outlier score. Pages in the tail
-are nominated, and a check of the page's own statistics decides.
+A page's own statistics decide whether it is prose, so what else the corpus
+holds, and how often, changes nothing. Beside that the statistics of every page
+are ranked exactly inside its language and inside the corpus (range-partitioned
+sort with partition offsets); the empirical tail probabilities of all statistics
+combine into an outlier score, which is given and decides nothing: it shrinks as
+pages of a kind get common.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "line_end_share", "common_share")
 #: Folded words shorter than this are too easily met by chance.
 FOLDED_LENGTH = 3
-#: A page scoring at least this is nominated. Five tails each a chance of one half would score 3.5; lists, tables and junk score twice that.
-NOMINATED = 5.0
 #: Running text of a known language has at least these shares of common words: when misread letters are folded, and as they stand.
 #: (Names fold into common words by chance, but lists of names hold no common word as it stands.)
 PROSE_SHARE, PLAIN_SHARE, SURE_SHARE = 0.12, 0.03, 0.25
@@ -148,10 +148,9 @@ def scored(docs: DataFrame, common_words: DataFrame) -> DataFrame:
 
 
 def found(docs: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(doc_id) of the pages that are mainly list, table or junk: nominated by their score, decided by their statistics.
+    """(doc_id) of the pages that are mainly list, table or junk, decided by each page's own statistics.
 
-    Null, empty and blank texts are no cases. Null and odd languages are ranked
-    among themselves and, as all pages are, in the corpus. A page without an id
-    can't be named and is left out.
+    Null, empty and blank texts are no cases. A page without an id can't be
+    named and is left out.
     """
-    return scored(docs, common_words).filter((F.col("score") >= NOMINATED) & ~F.col("prose")).select("doc_id")
+    return statistics(docs, common_words).filter(F.col("doc_id").isNotNull() & (F.col("n_words") > 0) & ~is_prose()).select("doc_id")

@@ -71,3 +71,12 @@ def test_scores_equal_brute_force(spark):
 def test_empty_corpus(spark):
     words = spark.createDataFrame([("en", "the")], "lang string, word string")
     assert q.found(corpus(spark).filter(F.lit(False)), words).count() == 0
+
+
+@pytest.mark.parametrize("copies", [30, 60])
+@pytest.mark.parametrize("text", [LIST, TABLE, JUNK])
+def test_a_page_copied_to_a_third_or_half_of_the_corpus(spark, text, copies):
+    rows = [(i, PROSE * (1 + i % 5), "en") for i in range(60)] + [(100 + i, text * 4, "en") for i in range(copies)] + [(None, text, "en")]
+    words = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in q.found(docs, words).collect()) == list(range(100, 100 + copies))
