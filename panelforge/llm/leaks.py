@@ -23,8 +23,10 @@ from .reading import fold, page_words
 #: A seed is so many consecutive folded words of a passage.
 SEED_WORDS = 3
 #: A seed is rare if at most this share of the pages (or so many pages) holds it, or if it is among this share of its item's
-#: seeds that are rarest: an item that stands on very many pages keeps seeds.
-RARE_SHARE, RARE_LEAST, RAREST = 0.0005, 8, 0.4
+#: seeds that are rarest: an item that stands on very many pages keeps seeds. A part of an item that stands on very many pages makes
+#: all its seeds about as frequent, a common phrase with other words in it only some: where this share of the seeds of a stretch just
+#: long enough for a case is held by at most NEARLY times as many pages as the rarest of them, these are rare too.
+RARE_SHARE, RARE_LEAST, RAREST, NEARLY = 0.0005, 8, 0.4, 5
 #: Places of a passage hit near one diagonal, and rare seeds among them, that make a candidate; words around it that are aligned.
 MIN_HITS, MIN_SEEDS, BAND, MARGIN = 6, 2, 14, 70
 #: Words whose shapes a task remembers.
@@ -253,14 +255,18 @@ class Search:
 
     def frequent(self, pages: dict[int, int], limit: int) -> set[int]:
         """Numbers of the seeds that are not rare, from how many pages hold each."""
-        of_item = defaultdict(list)
-        for g, n in self.numbers.items():
-            for item, _ in self.seeds[g]:
-                of_item[item].append(n)
         keep = {n for n in range(len(self.numbers)) if pages.get(n, 0) <= limit}
-        for numbers in of_item.values():
-            numbers.sort(key=lambda n: pages.get(n, 0))
-            keep.update(numbers[: max(MIN_SEEDS, int(RAREST * len(numbers)))])
+        for w in self.words.values():
+            size = min(SEED_WORDS, len(w))
+            numbers = [self.numbers[tuple(w[k : k + size])] for k in range(len(w) - size + 1)]
+            keep.update(sorted(numbers, key=lambda n: (pages.get(n, 0), n))[: max(MIN_SEEDS, int(RAREST * len(numbers)))])
+            stretch = max(1, needed(w) - size + 1)
+            for k in range(len(numbers) - stretch + 1):
+                part = numbers[k : k + stretch]
+                most = NEARLY * min(pages.get(n, 0) for n in part)
+                even = [n for n in part if pages.get(n, 0) <= most]
+                if len(even) >= RAREST * len(part):
+                    keep.update(even)
         return set(range(len(self.numbers))) - keep
 
     def candidates(self, hits: list[tuple[int, int]], rare: np.ndarray, by_number: list[tuple]) -> dict[int, list[list[int]]]:

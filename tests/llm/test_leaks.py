@@ -49,6 +49,15 @@ def test_a_passage_on_a_third_of_all_pages(spark):
     assert found(spark, pages, [(1, p, "s"), (2, passage(71), "s")]) == {(k, 1) for k in range(0, 60, 3)}
 
 
+@pytest.mark.parametrize("at", [0, 10, 35])
+def test_a_part_of_a_passage_on_a_third_of_all_pages(spark, at):
+    p = passage(73, 60)
+    part = " ".join(p.split()[at : at + 25])
+    misread = " ".join(x[:-1] + "z" if k in (6, 18) else x for k, x in enumerate(part.split()))
+    pages = [(page(k, [part, "", misread, "", "", ""][k % 6]), None) for k in range(60)] + [(page(60, p), None)]
+    assert found(spark, pages, [(1, p, "s"), (2, passage(71), "s")]) == {(k, 1) for k in range(60) if k % 6 in (0, 2)} | {(60, 1)}
+
+
 def test_columns_are_read_in_order(spark):
     w = passage(80).split()
     left, right = [" ".join(w[i : i + 5]) for i in range(0, 20, 5)], [" ".join(w[i : i + 5]) for i in range(20, 40, 5)]
