@@ -20,7 +20,7 @@ from ..sources.bars import bar_day, clean, daily_panel, first_per_day, micros, s
 Query = Callable[[SparkSession, str], DataFrame]
 
 HORIZONS = (1, 3, 5, 7)
-#: Features whose coefficients are studied, and those of the ridge model.
+#: Features whose coefficients are studied (their SQL is of these five), and those of the ridge model (all thirteen are hardly ever there in one row).
 STUDIED = ["ret_1d", "mom_20d", "rv_30d", "reversal_5d", "cvd_20d"]
 MODEL = ["mom_20d", "rv_30d", "reversal_5d", "taker_ratio_20d", "trades_zscore_20d"]
 #: The first asset by name is the reference of regimes and checks.
@@ -233,9 +233,9 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
 # --- quality ----------------------------------------------------------------
 
 
-def _values(spark: SparkSession, d: str, reference: bool) -> DataFrame:
+def _values(spark: SparkSession, d: str, reference: bool, features: list[str] = STUDIED) -> DataFrame:
     bars = daily_panel(spark, d)
-    values = to_long(compute(bars, specs(STUDIED)), STUDIED, drop_null=False)
+    values = to_long(compute(bars, specs(features)), features, drop_null=False)
     return values.filter(F.col("asset") == _reference(bars)) if reference else values
 
 
@@ -256,7 +256,7 @@ def qa_lookahead(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qa_adf(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(qa.stationarity(_values(spark, d, False)), "adf", "p")
+    return _rounded(qa.stationarity(_values(spark, d, False, list(PRICE_FEATURES))), "adf", "p")
 
 
 # --- portfolios -------------------------------------------------------------

@@ -200,3 +200,10 @@ def test_the_whole_chain(spark):
     assert '"feature_id": "mom_20d"' in pipeline.ic_report(r, ["a0"])
     assert "Overall:" in pipeline.quality_report(b, "mom_20d", "a0")
     assert REGISTRY["mom_20d"].with_params(window_d=5).warmup_rows == 5
+
+
+def test_stationarity_takes_all_price_features(spark):
+    from panelforge.functions.features import PRICE_FEATURES
+    from panelforge.queries import research
+
+    assert {r.feature_id for r in research.qa_adf(spark, "/root/testdata/sf0.001").collect()} == set(PRICE_FEATURES)
