@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-_EDGE = "part int, g string, n bigint, first double, n_first bigint, last double, n_last bigint, s1 double, s2 double, s3 double"
+_EDGE = "part int, g string, n bigint, first double, first_once bigint, w_first bigint, n_first bigint, last double, last_once bigint, n_last bigint, s1 double, s2 double, s3 double"
 _RANKED = "g string, id bigint, v double, below bigint, upto bigint, size bigint, skew double"
 
 
@@ -36,67 +36,97 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int]]:
             yield names[codes[a]], a, z
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, list] = {}
-    for b in batches:
-        values = b.column("v").to_numpy()
-        for g, a, z in _pieces(b):
-            v = values[a:z]
-            s = found.setdefault(g, [0, float(v[0]), 0, float(v[0]), 0, 0.0, 0.0, 0.0])
-            s[0] += len(v)
-            s[2] += int(np.sum(v == s[1]))
-            if v[-1] != s[3]:
-                s[3], s[4] = float(v[-1]), 0
-            s[4] += int(np.sum(v == s[3]))
-            s[5] += float(v.sum())
-            s[6] += float((v**2).sum())
-            s[7] += float((v**3).sum())
-    if found:
-        cols = [[TaskContext.get().partitionId()] * len(found), list(found), *map(list, zip(*found.values(), strict=True))]
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), *[pa.float64()] * 3]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _EDGE.split(", ")])
-
-
-def offsets(edges: list[tuple]) -> dict[tuple[int, str], tuple[int, int, int, int, float]]:
-    """Of each (partition, group): rows before it, ties of its first value before it, ties of its last after it, the group's size and skewness."""
+def _weights(v: np.ndarray, once: np.ndarray, counted: np.ndarray, each: bool, before: tuple | None) -> np.ndarray:
+    """What each sorted row counts: nothing unless ``counted``, nor where it repeats the row before it (unless ``each`` row counts)."""
+    if each:
+        return counted.astype(np.int64)
+    new = np.r_[before is None or (v[0], once[0]) != before, (v[1:] != v[:-1]) | (once[1:] != once[:-1])]
+    return (counted & new).astype(np.int64)
+
+
+def _columns(t, a: int = 0, z: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(t.column(c).to_numpy(zero_copy_only=False)[a:z] if isinstance(t, pa.RecordBatch) else t.column(c).to_numpy()[a:z] for c in ("v", "once", "counted"))
+
+
+def _summarizer(each: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {}
+        for b in batches:
+            every = _columns(b)
+            for g, a, z in _pieces(b):
+                v, once, counted = (c[a:z] for c in every)
+                s = found.get(g)
+                w = _weights(v, once, counted, each, (s[6], s[7]) if s else None)
+                if s is None:
+                    s = found[g] = [0, float(v[0]), int(once[0]), 0 if each else int(w[0]), 0, 0, float(v[0]), int(once[0]), 0, 0.0, 0.0, 0.0]
+                s[0] += int(w.sum())
+                s[4] += int(w[v == s[1]].sum())
+                if v[-1] != s[6]:
+                    s[8] = 0
+                s[6], s[7] = float(v[-1]), int(once[-1])
+                s[8] += int(w[v == s[6]].sum())
+                for k in (1, 2, 3):
+                    s[8 + k] += float((w * v**k).sum())
+        if found:
+            rows = [[s[i] for i in (0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11)] for s in found.values()]
+            cols = [[TaskContext.get().partitionId()] * len(found), list(found), *map(list, zip(*rows, strict=True))]
+            i, f = pa.int64(), pa.float64()
+            kinds = [pa.int32(), pa.string(), i, f, i, i, i, f, i, i, f, f, f]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _EDGE.split(", ")])
+
+    return run
+
+
+def offsets(edges: list[tuple], each: bool = True) -> dict[tuple[int, str], tuple]:
+    """Of each (partition, group): what counts before it, ties of its first value before it, ties of its last after it, the group's count and skewness, and whether its first row repeats the last before it."""
     out = {}
     groups = defaultdict(list)
     for e in sorted(edges, key=lambda e: (e[1], e[0])):
-        groups[e[1]].append(e)
+        groups[e[1]].append(list(e))
     for g, es in groups.items():
+        repeats = [False]
+        for a, b in zip(es, es[1:], strict=False):
+            again = not each and (a[7], a[8]) == (b[3], b[4])
+            repeats.append(again)
+            if again and b[5]:  # counted already
+                b[2], b[6], b[9] = b[2] - 1, b[6] - 1, b[9] - (b[3] == b[7])
+                for k in (1, 2, 3):
+                    b[9 + k] -= b[3] ** k
         n = sum(e[2] for e in es)
-        m1, m2, m3 = (sum(e[i] for e in es) / n for i in (7, 8, 9))
+        m1, m2, m3 = (sum(e[i] for e in es) / max(n, 1) for i in (10, 11, 12))
         var = m2 - m1 * m1
         skew = (m3 - 3 * m1 * m2 + 2 * m1**3) / var**1.5 if var > 1e-12 * max(m2, 1e-300) else 0.0
         before, earlier, run, value = 0, [], 0, None
         for e in es:
             earlier.append((before, run if e[3] == value else 0))
             before += e[2]
-            run = e[6] + (earlier[-1][1] if e[3] == e[5] else 0)  # rows of the last value up to here
-            value = e[5]
+            run = e[9] + (earlier[-1][1] if e[3] == e[7] else 0)  # of the last value up to here
+            value = e[7]
         run, value = 0, None
-        for e, (start, ties) in zip(reversed(es), reversed(earlier), strict=True):
-            later = run if e[5] == value else 0
-            out[(e[0], g)] = (start, ties, later, n, skew)
-            run = e[4] + (later if e[3] == e[5] else 0)
+        for e, again, (start, ties) in zip(reversed(es), reversed(repeats), reversed(earlier), strict=True):
+            later = run if e[7] == value else 0
+            out[(e[0], g)] = (start, ties, later, n, skew, again)
+            run = e[6] + (later if e[3] == e[7] else 0)
             value = e[3]
     return out
 
 
-def _ranker(known: dict):
+def _ranker(known: dict, each: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held).combine_chunks()  # one range of the sorted rows, bounded by the partitioning
-        v = t.column("v").to_numpy()
-        below, upto, size, skew = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64), np.zeros(len(v), np.int64), np.zeros(len(v))
+        every = _columns(t)
+        rows = t.num_rows
+        below, upto, size, skew = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows)
         for g, a, z in _pieces(t):
-            start, earlier, later, n, s = known[(part, g)]
-            x = v[a:z]
-            below[a:z] = start + np.searchsorted(x, x, side="left") - np.where(x == x[0], earlier, 0)
-            upto[a:z] = start + np.searchsorted(x, x, side="right") + np.where(x == x[-1], later, 0)
+            start, earlier, later, n, s, again = known[(part, g)]
+            x, once, counted = (c[a:z] for c in every)
+            upto_row = np.r_[0, np.cumsum(_weights(x, once, counted, each, (x[0], once[0]) if again else None))]
+            below[a:z] = start + upto_row[np.searchsorted(x, x, side="left")] - np.where(x == x[0], earlier, 0)
+            upto[a:z] = start + upto_row[np.searchsorted(x, x, side="right")] + np.where(x == x[-1], later, 0)
             size[a:z], skew[a:z] = n, s
         out = pa.table({"g": t.column("g"), "id": t.column("id"), "v": t.column("v"), "below": below, "upto": upto, "size": size, "skew": skew})
         yield from out.to_batches(max_chunksize=20_000)
@@ -104,18 +134,28 @@ def _ranker(known: dict):
     return run
 
 
-def exact_ranks(values: DataFrame, group: str, value: str, key: str) -> DataFrame:
+def exact_ranks(values: DataFrame, group: str, value: str, key: str, counted: str | None = None, once: str | None = None) -> DataFrame:
     """(g, id, v, below, upto, size, skew): of each row how many of its group are smaller, how many not greater, and all; and the group's skewness.
 
     :param values: ``group`` (text), ``value`` (a number, neither null nor NaN)
         and ``key`` (a long that spreads equal values over partitions).
+    :param counted: a boolean column; every row is ranked, but only among the
+        rows where it holds (null is false). All by default.
+    :param once: a long; of rows of one group that agree in it and in the value
+        (and so in ``counted``) only one counts, however many copies there are.
 
     The sorted rows are checkpointed, which fixes their partitions; the driver
     gets one row a partition and group in it. A null group is the group of the
     empty text. An empty table gives no rows.
     """
     shared_dir(values.sparkSession)
-    flat = values.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(value).cast("double").alias("v"), F.col(key).cast("long").alias("id"))
-    placed = flat.repartitionByRange("g", "v", "id").sortWithinPartitions("g", "v", "id").checkpoint()
-    known = offsets([tuple(r) for r in placed.mapInArrow(_summary, _EDGE).collect()])
-    return placed.mapInArrow(_ranker(known), _RANKED)
+    each = once is None
+    flat = values.select(
+        F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(value).cast("double").alias("v"),
+        (F.lit(0) if each else F.coalesce(F.col(once), F.lit(0))).cast("long").alias("once"), F.col(key).cast("long").alias("id"),
+        (F.lit(True) if counted is None else F.coalesce(F.col(counted), F.lit(False))).alias("counted"),
+    )
+    order = ["g", "v", "once", "id"]
+    placed = flat.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    known = offsets([tuple(r) for r in placed.mapInArrow(_summarizer(each), _EDGE).collect()], each)
+    return placed.mapInArrow(_ranker(known, each), _RANKED)

@@ -27,12 +27,34 @@ def test_ranks_over_partitions_and_ties(spark, parts):
         assert (r.below, r.upto, r["size"]) == ((v < x).sum(), (v <= x).sum(), len(v))
 
 
+def _edge(part, values):
+    v = np.array(values)
+    return (part, "g", len(v), v[0], 0, 0, int((v == v[0]).sum()), v[-1], 0, int((v == v[-1]).sum()), *[float((v**k).sum()) for k in (1, 2, 3)])
+
+
 def test_a_tie_over_many_partitions():
-    # parts of one group: [0,1,1] [1,1] [1] [1,2] [2]
-    e = [(0, "g", 3, 0.0, 1, 1.0, 2, 2, 2, 2), (1, "g", 2, 1.0, 2, 1.0, 2, 2, 2, 2), (2, "g", 1, 1.0, 1, 1.0, 1, 1, 1, 1), (3, "g", 2, 1.0, 1, 2.0, 1, 3, 5, 9), (4, "g", 1, 2.0, 1, 2.0, 1, 2, 4, 8)]
-    o = offsets([tuple(x) for x in e])
+    o = offsets([_edge(i, v) for i, v in enumerate([[0.0, 1, 1], [1.0, 1], [1.0], [1.0, 2], [2.0]])])
     assert [o[(p, "g")][:4] for p in range(5)] == [(0, 0, 4, 9), (3, 2, 2, 9), (5, 4, 1, 9), (6, 5, 1, 9), (8, 1, 0, 9)]
 
 
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_ranks_among_counted_rows_with_copies_once(spark, parts):
+    rng = np.random.default_rng(parts)
+    kinds = [(str(rng.choice(["a", "b"])), float(rng.integers(0, 6)), int(k), bool(rng.random() < 0.6)) for k in range(60)]
+    rows = [(i, *kinds[int(k)]) for i, k in enumerate(np.minimum(rng.geometric(0.05, 800) - 1, 59))]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = exact_ranks(spark.createDataFrame(rows, "k bigint, grp string, x double, same bigint, ok boolean"), "grp", "x", "k", "ok", "same").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == len(rows)
+    for r in got:
+        _, g, x, _, _ = rows[r.id]
+        v = np.array([k[1] for k in {q[1:] for q in rows} if k[0] == g and k[3]])
+        assert (r.below, r.upto, r["size"]) == ((v < x).sum(), (v <= x).sum(), len(v))
+
+
 def test_empty(spark):
     assert exact_ranks(spark.createDataFrame([], "k bigint, grp string, x double"), "grp", "x", "k").count() == 0
