@@ -14,9 +14,9 @@ def stats(text):
 
 
 def test_statistics_of_a_text():
-    n, mean, symbols, ends, common, digits, read, foreign = stats("The cat, (3) sat.\n\nOn the mat\n")
+    n, mean, symbols, ends, common, digits, read, foreign, flow = stats("The cat, (3) sat.\n\nOn the mat\n")
     assert n == 7 and mean == pytest.approx(22 / 7) and symbols == pytest.approx(4 / 22) and ends == 0.5
-    assert common == pytest.approx(3 / 7) and digits == pytest.approx(1 / 7) and foreign == 0 and read == pytest.approx(3 / 7)
+    assert common == pytest.approx(3 / 7) and digits == pytest.approx(1 / 7) and foreign == 0 and read == pytest.approx(3 / 7) and flow == pytest.approx(1 / 6)
 
 
 @pytest.mark.parametrize("text", [None, "", " ", "\n\t   "])
@@ -49,23 +49,37 @@ def test_pages_that_are_no_prose(spark):
 
 def test_scores_equal_brute_force(spark):
     words = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
-    st = q.statistics(corpus(spark), words).filter("n_words > 0 and doc_id <> 100")
+    st = q.statistics(corpus(spark), words).filter("n_words > 0")
     rows = [r.asDict() for r in st.collect()]
-    got = {r.doc_id: r.score for r in q.outlier_scores(st, "lang").collect()}
+    got = q.outlier_scores(st, "lang", q.PLAIN_TAILS, F.col("common_share") >= 0.25).collect()
+    assert len(got) == len(rows)
 
     def score(members, row):
-        l = r = a = 0.0
-        for c in q.STATS:
-            x = np.array([float(m[c]) for m in members])
-            left, right = -np.log((x <= row[c]).mean()), -np.log((x >= row[c]).mean())
-            sd = x.std()
-            skew = ((x - x.mean()) ** 3).mean() / sd**3 if sd > 1e-9 else 0.0
-            l, r, a = l + left, r + right, a + (left if skew < 0 else right)
-        return max(l, r, a)
-
-    for row in rows:
-        want = max(score(rows, row), score([m for m in rows if m["lang"] == row["lang"]], row))
-        assert got[row["doc_id"]] == pytest.approx(want, abs=1e-9)
+        ref = {tuple(m[c] for c in q.PLAIN_TAILS) + (m["lang"],) for m in members if m["common_share"] >= 0.25}
+        total = 0.0
+        for i, (c, side) in enumerate(q.PLAIN_TAILS.items()):
+            x = np.array([float(m[i]) for m in ref])
+            left, right = -np.log(((x <= row[c]).sum() + 1) / (len(x) + 1)), -np.log(((x >= row[c]).sum() + 1) / (len(x) + 1))
+            total += {"left": left, "right": right, "both": max(left, right)}[side]
+        return len(ref), total / np.log(len(ref) + 1) if ref else None
+
+    for r in got:
+        row = r.asDict()
+        n, own = score([m for m in rows if m["lang"] == row["lang"]], row)
+        every = score(rows, row)[1]
+        assert r.score == pytest.approx(((own if n >= q.LEAST_REFERENCE else every) + every) / 2, abs=1e-9)
+
+
+def test_the_score_alone_parts_prose_from_the_rest(spark):
+    words = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    rows = {(r.doc_id, r.score) for r in q.scored(corpus(spark), words).collect()}
+    assert min(s for i, s in rows if i in (100, 101, 102)) > max(s for i, s in rows if i not in (100, 101, 102))
+
+
+def test_no_reference_at_all(spark):
+    words = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    docs = spark.createDataFrame([(1, LIST, "en"), (2, TABLE, None)], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in q.found(docs, words).collect()) == [1, 2]
 
 
 def test_empty_corpus(spark):
