@@ -4,27 +4,32 @@ Readings are judged against their own series. The series itself, one reading a
 day, is gathered per series (at most one row a calendar day bounds it); the rows
 to be judged come beside it in shards of bounded size, so copies and revisions
 of a hot series spread over tasks, each of which grows the same forest from the
-same days and seed. Every row gets a score and the outcome of each rule.
+same days and seed. Every row gets a score; rows of a high score are nominated,
+and only these are held against the exact definition of a spike. Physical limits
+and stuck runs are explicit rules.
 """
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 FIELDS = ("high", "low", "close", "quote_vol")
 #: Fields whose values repeat only when a feed is stuck.
 STUCK_FIELDS = ("close", "quote_vol")
-TREES, SAMPLE, DEPTH, SEED = 32, 128, 7, 20_240_101
+TREES, SAMPLE, DEPTH, SEED = 64, 256, 8, 20_240_101
 #: Rows judged in one task, and readings on either side that make the level.
 SHARD_ROWS, SIDE = 150_000, 5
 STUCK_RUN, SPIKE_DAYS, SPIKE_MADS = 5, 3, 20.0
-#: Rows scoring below this quantile of their series' days are no candidates for a spike. Limits and stuck runs are explicit rules and need no nomination.
-CANDIDATE_QUANTILE = 0.5
+#: The anomaly score (one half is ordinary) from which on a row is nominated as a spike. A series of fewer days than LEAST_DAYS is too
+#: short to learn from: all its rows are nominated.
+NOMINATED, LEAST_DAYS = 0.55, 32
+#: Series beyond one shard are listed; up to so many are broadcast, more are joined by their keys.
+MAX_BROADCAST = 100_000
 
 _OUT = "bar_id bigint, exchange string, symbol string, day date, score double, candidate boolean, stuck boolean, spike boolean"
 
@@ -112,13 +117,11 @@ class Field:
         self.log_day, self.log = self.day[self.positive], np.log(self.value[self.positive])
         steps = np.abs(np.diff(self.log))
         self.mad = float(np.median(steps)) if len(steps) else np.nan
+        # medians of up to SIDE readings: before[k] of those before reading k, after[k] of k and those after it
         n = len(self.log)
         pad = np.r_[np.full(SIDE, np.nan), self.log, np.full(SIDE, np.nan)]
-        sides = np.lib.stride_tricks.sliding_window_view(pad, SIDE)
-        with np.errstate(all="ignore"):
-            med = _nanmedian(sides)
-        self.before = med[:n]  # of the SIDE readings before reading i
-        self.after = med[SIDE + 1 : SIDE + 1 + n]  # of those after it
+        med = _nanmedian(np.lib.stride_tricks.sliding_window_view(pad, SIDE))
+        self.before, self.after = med[: n + 1], med[SIDE : SIDE + n + 1]
         #: runs of equal values: first and last index of the run each recorded day lies in
         new = np.r_[True, self.value[1:] != self.value[:-1]] if len(self.value) else np.zeros(0, bool)
         run = np.cumsum(new) - 1
@@ -145,52 +148,53 @@ class Field:
         return out
 
     def spike(self, day: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Rows off the level both before and after, in one direction, within at most SPIKE_DAYS recorded days."""
+        """Rows off the level both before and after, in one direction, within at most SPIKE_DAYS recorded days.
+
+        The readings next to the run are back at the level, else it lasts longer.
+        """
         out = np.zeros(len(day), bool)
         n = len(self.log)
         if n < 3 or not self.mad > 0:
             return out
         ok = value > 0
-        i = np.searchsorted(self.log_day, day[ok])
+        i, j = (np.searchsorted(self.log_day, day[ok], side) for side in ("left", "right"))  # readings before the row's day, and up to it
         x, far = np.log(value[ok]), SPIKE_MADS * self.mad
+        at = lambda k: np.where((k >= 0) & (k < n), self.log[np.clip(k, 0, n - 1)], np.nan)
         found = np.zeros(len(i), bool)
-        for length in range(1, SPIKE_DAYS + 1):
-            for offset in range(length):
-                a, b = i - offset, i - offset + length - 1  # first and last reading of the run
-                inside = (a >= 0) & (b < n)
-                lo, hi = np.clip(a, 0, n - 1), np.clip(b, 0, n - 1)
-                before, after = self.before[lo], self.after[hi]
-                # the readings next to the run are back at the level, else it lasts longer
-                left, right = self.log[np.clip(lo - 1, 0, n - 1)], self.log[np.clip(hi + 1, 0, n - 1)]
-                up = inside & (x - before > far) & (x - after > far) & (left - before <= far) & (right - after <= far)
-                down = inside & (before - x > far) & (after - x > far) & (before - left <= far) & (after - right <= far)
-                for k in range(length):  # the other days of the run are off as well
-                    if k != offset:
-                        y = self.log[np.clip(a + k, 0, n - 1)]
-                        up &= (y - before > far) & (y - after > far)
-                        down &= (before - y > far) & (after - y > far)
-                found |= up | down
+        for earlier in range(SPIKE_DAYS):  # days of the run before the row's, and after it
+            for later in range(SPIKE_DAYS - earlier):
+                a, b = i - earlier, j + later
+                before, after = self.before[np.clip(a, 0, n)], self.after[np.clip(b, 0, n)]
+                run = [x, *(at(i - k) for k in range(1, earlier + 1)), *(at(j + k) for k in range(later))]
+                for sign in (1, -1):
+                    off = (a > 0) & (b < n) & (sign * (at(a - 1) - before) <= far) & (sign * (at(b) - after) <= far)
+                    for y in run:
+                        off &= (sign * (y - before) > far) & (sign * (y - after) > far)
+                    found |= off
         out[ok] = found
         return out
 
-    def features(self, day: np.ndarray, value: np.ndarray, runs: bool) -> list[np.ndarray]:
-        """Level, difference, seasonal and run-length features; zero where there is no value to tell."""
+    def features(self, day: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
+        """Level, difference and seasonal feature in units of the median daily change; zero where there is no value to tell.
+
+        The level is that on the side that is nearer, and counts if both lie in
+        one direction; the difference is the greatest to the readings of the
+        SPIKE_DAYS days before or after, whichever side is smaller, so a lasting
+        change stays small; the season is a week.
+        """
         n = len(self.log)
+        if n < 3 or not self.mad > 0:
+            return [np.zeros(len(day))] * 3
         ok = value > 0
         x = np.where(ok, np.log(np.where(ok, value, 1.0)), 0.0)
-        if n:
-            i = np.clip(np.searchsorted(self.log_day, day), 0, n - 1)
-            around = np.nanmean([self.before[i], self.after[i]], axis=0) if n > 1 else self.log[i]
-            level = x - around
-            diff = x - np.where(i > 0, self.log[np.maximum(i - 1, 0)], x)
-            j = np.searchsorted(self.log_day, day - 7)
-            seasonal = x - np.where((j < n) & (self.log_day[np.minimum(j, n - 1)] == day - 7), self.log[np.minimum(j, n - 1)], x)
-        else:
-            level = diff = seasonal = np.zeros(len(day))
-        out = [np.where(ok, np.nan_to_num(f), 0.0) for f in (level, diff, seasonal)]
-        if runs:
-            out.append(np.minimum(self.run_length(day, value), 60).astype(float))
-        return out
+        i, j = (np.searchsorted(self.log_day, day, side) for side in ("left", "right"))
+        low, high = x - self.before[i], x - self.after[j]
+        level = np.where(low * high < 0, 0.0, np.fmin(np.abs(low), np.abs(high)))
+        apart = lambda k: np.where((k >= 0) & (k < n), np.abs(x - self.log[np.clip(k, 0, n - 1)]), 0.0)
+        sides = [np.max([apart(k) for k in ks], axis=0) for ks in ([i - 1 - k for k in range(SPIKE_DAYS)], [j + k for k in range(SPIKE_DAYS)])]
+        week = np.searchsorted(self.log_day, day - 7, "right") - 1
+        seasonal = apart(np.where(week >= 0, week, np.searchsorted(self.log_day, day + 7)))
+        return [np.where(ok, np.nan_to_num(f) / self.mad, 0.0) for f in (level, np.minimum(*sides), seasonal)]
 
 
 def _nanmedian(sides: np.ndarray) -> np.ndarray:
@@ -203,21 +207,29 @@ def _nanmedian(sides: np.ndarray) -> np.ndarray:
 
 
 def judge(days: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Score, candidate, stuck and spike of each of ``rows`` against the series ``days`` (sorted by day)."""
+    """Score, candidate, stuck and spike of each of ``rows`` against the series ``days`` (sorted by day).
+
+    The forest sees four features of a row: the greatest level, difference and
+    seasonal feature of its fields and its longest run, as logarithms.
+    """
     with np.errstate(all="ignore"):
-        with warnings.catch_warnings():  # means and medians of nothing are NaN, and meant to be
-            warnings.simplefilter("ignore")
-            fields = {f: Field(days["day"], days[f]) for f in FIELDS}
-            feats = lambda t: np.column_stack([c for f in FIELDS for c in fields[f].features(t["day"], t[f], f in STUCK_FIELDS)])
-            own = feats(days)
-            forest = Forest(own, np.random.default_rng(SEED))
-            score = forest.score(feats(rows))
-            candidate = score >= np.quantile(forest.score(own), CANDIDATE_QUANTILE)
-            # a run counts as the days' first or last revisions have it
-            early = {f: Field(days["day"], days[f"first_{f}"]) for f in STUCK_FIELDS}
-            stuck = np.any([x[f].run_length(rows["day"], rows[f]) >= STUCK_RUN for f in STUCK_FIELDS for x in (fields, early)], axis=0)
-            spike = np.any([fields[f].spike(rows["day"], rows[f]) for f in FIELDS], axis=0)
-    return score, candidate, stuck, spike & candidate
+        fields = {f: Field(days["day"], days[f]) for f in FIELDS}
+
+        def features(t: dict[str, np.ndarray]) -> np.ndarray:
+            own = [fields[f].features(t["day"], t[f]) for f in FIELDS]
+            runs = [fields[f].run_length(t["day"], t[f]) for f in STUCK_FIELDS]
+            return np.log1p(np.column_stack([*(np.max([x[k] for x in own], axis=0) for k in range(3)), np.max(runs, axis=0)]))
+
+        forest = Forest(features(days), np.random.default_rng(SEED))
+        score = forest.score(features(rows))
+        candidate = (score >= NOMINATED) | (len(days["day"]) < LEAST_DAYS)
+        # a run counts as the days' first or last revisions have it
+        early = {f: Field(days["day"], days[f"first_{f}"]) for f in STUCK_FIELDS}
+        stuck = np.any([x[f].run_length(rows["day"], rows[f]) >= STUCK_RUN for f in STUCK_FIELDS for x in (fields, early)], axis=0)
+        spike = np.zeros(len(score), bool)
+        at = np.flatnonzero(candidate)
+        spike[at] = np.any([fields[f].spike(rows["day"][at], rows[f][at]) for f in FIELDS], axis=0)
+    return score, candidate, stuck, spike
 
 
 def _group(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -247,7 +259,8 @@ def flag(bars: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
     Missing values decide nothing; rows without a day are no readings (the
     limits of ``flagged`` still hold for them); a series of one or two days has neither
-    spikes nor stuck runs; ties in the order of revisions do not occur as
+    spikes nor stuck runs, one of fewer than LEAST_DAYS days nominates all its
+    rows; ties in the order of revisions do not occur as
     bar_id is unique. An empty table gives no rows, null keys form series of
     their own, further columns are not carried.
     """
@@ -256,12 +269,13 @@ def flag(bars: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     keys = ["exchange", "symbol"]
     have = lambda f: F.when(F.col(f).isNotNull(), rank)
     days = b.groupBy(*keys, "x").agg(*[F.max_by(f, have(f)).alias(f) for f in FIELDS], *[F.min_by(f, have(f)).alias(f"first_{f}") for f in STUCK_FIELDS])
-    # only series beyond one shard are listed: at most rows / shard_rows of them, a bound that needs no check
     hot = b.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > shard_rows).select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_n") / shard_rows).cast("int").alias("_shards"))
+    hot = materialize(hot, "hot-series")  # read twice; rows / shard_rows of them at most
+    hot = F.broadcast(hot) if hot.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else hot
     same = F.col("exchange").eqNullSafe(F.col("_exchange")) & F.col("symbol").eqNullSafe(F.col("_symbol"))
     shards = F.coalesce("_shards", F.lit(1))
-    rows = b.join(F.broadcast(hot), same, "left").withColumn("shard", F.pmod(F.xxhash64("bar_id"), shards).cast("int"))
-    spread = days.join(F.broadcast(hot), same, "left").withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
+    rows = b.join(hot, same, "left").withColumn("shard", F.pmod(F.xxhash64("bar_id"), shards).cast("int"))
+    spread = days.join(hot, same, "left").withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
     by = [*keys, "shard"]
     # fresh attributes on one side: both come from the same table
     rows = rows.select("bar_id", *[F.col(c).alias(c) for c in (*by, "x", *FIELDS)])

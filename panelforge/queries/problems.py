@@ -170,6 +170,38 @@ _P3_SQL = f"""WITH {BARS_CTE},
     CASE WHEN o = 0 THEN 'observed' WHEN h0 IS NULL THEN 'gap' ELSE 'filled' END AS status FROM d)"""
 
 
+def _p4_sql() -> str:
+    """The definition itself, without a forest: a series as a sorted list a field, its levels as medians of slices."""
+    key = "coalesce(exchange, chr(1)) || chr(2) || coalesce(symbol, chr(1)) AS s"
+    fields, repeating = spikes.FIELDS, spikes.STUCK_FIELDS
+    rank = "(coalesce(load_id, -2147483648), coalesce(bar_id, -9223372036854775807))"
+    cases = []
+    for e in range(spikes.SPIKE_DAYS):
+        for later in range(spikes.SPIKE_DAYS - e):
+            a, b = f"(i - {e})", f"(j + {later})"
+            low = f"list_aggregate(l[greatest(1, {a} - {spikes.SIDE - 1}):{a}], 'median')"
+            high = f"list_aggregate(l[{b} + 1:{b} + {spikes.SIDE}], 'median')"
+            run = ["x", *(f"l[i - {k} + 1]" for k in range(1, e + 1)), *(f"l[j + {k} + 1]" for k in range(later))]
+            for g in ("", "-"):
+                off = [f"{g}(l[{a}] - {low}) <= far", f"{g}(l[{b} + 1] - {high}) <= far", *(f"{g}({y} - {z}) > far" for y in run for z in (low, high))]
+                cases.append(f"CASE WHEN {a} > 0 AND {b} < n THEN {' AND '.join(off)} ELSE false END")
+    wrong = "high <= 0 OR low <= 0 OR close <= 0 OR quote_vol < 0 OR low > high OR close > high OR close < low"
+    return f"""WITH {BARS_CTE},
+  v AS ({" UNION ALL ".join(f"SELECT bar_id, {key}, day, '{f}' AS f, {f} AS v, {rank} AS rank FROM b WHERE {f} IS NOT NULL" for f in fields)}),
+  d AS (SELECT 'new' AS k, s, f, day, arg_max(v, rank) AS v FROM v GROUP BY s, f, day UNION ALL SELECT 'old', s, f, day, arg_min(v, rank) FROM v WHERE f IN {repeating} GROUP BY s, f, day),
+  c AS (SELECT s, f, day, ln(v) AS x, abs(ln(v) - lag(ln(v)) OVER (PARTITION BY s, f ORDER BY day)) AS step FROM d WHERE k = 'new' AND v > 0),
+  l AS (SELECT s, f, list(day ORDER BY day) AS ds, list(x ORDER BY day) AS l, count(*) AS n, {spikes.SPIKE_MADS} * median(step) AS far FROM c GROUP BY s, f HAVING count(*) >= 3 AND median(step) > 0),
+  r AS (SELECT bar_id, ln(v) AS x, l, n, far, len(list_filter(ds, lambda q: q < day)) AS i, len(list_filter(ds, lambda q: q <= day)) AS j FROM v JOIN l ON v.s = l.s AND v.f = l.f WHERE v > 0),
+  e AS (SELECT *, row_number() OVER w AS rn, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS new FROM d WHERE f IN {repeating} WINDOW w AS (PARTITION BY k, s, f ORDER BY day)),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY k, s, f ORDER BY rn) AS run FROM e),
+  h AS (SELECT *, rn - min(rn) OVER q + 1 AS done, max(rn) OVER q - rn + 1 AS left_over FROM g WINDOW q AS (PARTITION BY k, s, f, run)),
+  y AS (SELECT *, lag(v) OVER w AS pv, lag(done) OVER w AS pn, lead(v) OVER w AS nv, lead(left_over) OVER w AS nn FROM h WINDOW w AS (PARTITION BY k, s, f ORDER BY rn)),
+  o AS (SELECT {", ".join(["bar_id", *(f"{_NN(f)} AS {f}" for f in fields)])} FROM ohlcv_1d)
+  SELECT bar_id FROM o WHERE {wrong}
+  UNION SELECT bar_id FROM v JOIN y ON v.s = y.s AND v.f = y.f AND v.day = y.day WHERE 1 + CASE WHEN pv = v.v THEN pn ELSE 0 END + CASE WHEN nv = v.v THEN nn ELSE 0 END >= {spikes.STUCK_RUN}
+  UNION SELECT bar_id FROM r WHERE {" OR ".join(cases)}"""
+
+
 def _p5_sql(found: bool) -> str:
     cells = []
     for a in ("close", "quote_vol", "n_trades"):
@@ -206,6 +238,7 @@ SQL = {
     "p2_found": _p2_sql(True),
     "p3_found": _P3_SQL + " SELECT exchange, symbol, day FROM out WHERE status <> 'observed'",
     "p3_grid": _P3_SQL + " SELECT exchange, symbol, day, close, status FROM out",
+    "p4_found": _p4_sql(),
     "p5_found": _p5_sql(True),
     "p5_trailing": _p5_sql(False),
 }
