@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compaction, profile, regrid, spikes, trailing
-from ..schema import BAR_COLUMNS
+from ..schema import BAR_COLUMNS, OHLCV_1D
 from ..sources.bars import clean, keyed, latest_per_day, table
 
 TARGET_BYTES = 128 * 1024 * 1024
+_DOUBLES = [f.name for f in OHLCV_1D if f.dataType.typeName() == "double"]
 
 
 def _compacted(spark: SparkSession, d: str):
     bars = table(spark, d, "ohlcv_1d")
-    done = compaction.compact(bars, BAR_COLUMNS, "bar_id", ["symbol"], ["symbol", "exchange", "ts_open", "bar_id"])
+    done = compaction.compact(bars, BAR_COLUMNS, "bar_id", ["symbol"], ["symbol", "exchange", "ts_open", "bar_id"], target_bytes=TARGET_BYTES)
     schema = bars.select(*BAR_COLUMNS, "bar_id").schema
     return bars, spark.read.schema(schema).parquet(done.path)
 
@@ -26,8 +27,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
-    """The compacted table itself, read back from its few files."""
-    return _compacted(spark, d)[1]
+    """The compacted table itself, read back from its few files; NaN as null, and how many of a record's values are NaN."""
+    records = _compacted(spark, d)[1]
+    nans = sum((F.when(F.isnan(c), 1).otherwise(0) for c in _DOUBLES), F.lit(0))
+    return records.withColumn("n_nan", nans).withColumns({c: clean(F.col(c)) for c in _DOUBLES})
 
 
 def p1_files(spark: SparkSession, d: str) -> DataFrame:
@@ -72,8 +75,10 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """The days that were filled or marked."""
-    return p3_grid(spark, d).filter(F.col("status") != "observed").select("exchange", "symbol", "day")
+    """The days that were filled or marked: those of the grid whose value is interpolated, and those of a gap, which have none."""
+    grid = regrid.regrid(_closes(spark, d), "close")
+    filled = F.when(F.col("status") == "filled", F.col("close").isNotNull()).when(F.col("status") == "gap", F.col("close").isNull()).otherwise(False)
+    return grid.filter(filled).select("exchange", "symbol", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +218,7 @@ def _p5_sql(found: bool) -> str:
                 s = f"CAST(round(coalesce({s}, 0), {6 if a == 'close' else 2}) AS DOUBLE)"
                 cells.append(f"{s} AS {a}_sum_{n}, {c} AS {a}_n_{n}, {s} / nullif({c}, 0) AS {a}_avg_{n}")
     base = f"""WITH {BARS_CTE},
-  r AS (SELECT exchange, symbol, day, CAST(close AS DECIMAL(38,10)) AS close, CAST(quote_vol AS DECIMAL(38,10)) AS quote_vol, CASE WHEN n_trades >= 0 THEN n_trades END AS n_trades FROM (SELECT *, {_NEW} AS rn FROM b) WHERE rn = 1),
+  r AS (SELECT exchange, symbol, day, CAST(CAST(close AS VARCHAR) AS DECIMAL(38,20)) AS close, CAST(CAST(quote_vol AS VARCHAR) AS DECIMAL(38,20)) AS quote_vol, CASE WHEN n_trades >= 0 THEN n_trades END AS n_trades FROM (SELECT *, {_NEW} AS rn FROM b) WHERE rn = 1),
   s AS (SELECT exchange, symbol, min(day) AS lo, max(day) AS hi FROM r GROUP BY 1, 2),
   g AS (SELECT exchange, symbol, lo, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM s),
   t AS (SELECT g.exchange, g.symbol, g.lo, g.day, {", ".join(cells)}
@@ -230,7 +235,8 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_files, p2_found, p2_
 
 SQL = {
     "p1_found": f"SELECT bar_id FROM (SELECT bar_id, min(bar_id) OVER (PARTITION BY {_TWELVE}) AS kept FROM ohlcv_1d) WHERE bar_id > kept",
-    "p1_records": f"SELECT {_TWELVE}, min(bar_id) AS bar_id FROM ohlcv_1d GROUP BY {_TWELVE}",
+    "p1_records": f"""SELECT * REPLACE ({", ".join(f"{_NN(c)} AS {c}" for c in _DOUBLES)}), CAST({" + ".join(f"coalesce(CAST(isnan({c}) AS INTEGER), 0)" for c in _DOUBLES)} AS INTEGER) AS n_nan
+  FROM (SELECT {_TWELVE}, min(bar_id) AS bar_id FROM ohlcv_1d GROUP BY {_TWELVE})""",
     "p1_files": f"""SELECT *, CAST(CASE WHEN n_files > 0 THEN greatest(1, ceil(n_bytes / {TARGET_BYTES}.0)) ELSE 0 END AS BIGINT) AS n_planned FROM (SELECT exchange, upper(trim(symbol)) AS symbol,
   count(*) FILTER (coalesce(committed, false)) AS n_files, count(*) FILTER (NOT coalesce(committed, false)) AS n_uncommitted,
   CAST(coalesce(sum(coalesce(n_bytes, 0)) FILTER (coalesce(committed, false)), 0) AS BIGINT) AS n_bytes,

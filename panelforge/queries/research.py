@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
@@ -275,15 +275,9 @@ def ls_binary_inverted(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_day(_traded(spark, d, -1).select("asset", "d", "pos", "strat")), "strat")
 
 
-def _held(name: str) -> Column:
-    """Returns beyond what a price can do in a day are a feed's faults, not trades: held at +-50 %."""
-    return F.when(F.col(name).isNotNull(), F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col(name))))
-
-
 def _book(spark: SparkSession, d: str, centred: bool) -> DataFrame:
     x = portfolio.returns(daily_panel(spark, d)).withColumn("s", k.zscore(F.col("r"), 30))
     x = x.withColumn("s", panel.demean(F.col("s"))) if centred else x
-    x = x.withColumn("fwd", _held("fwd"))
     return panel.portfolio_return(x.withColumn("w", panel.gross_weights(F.col("s"))), "w", "fwd").withColumn("asset", F.lit("portfolio"))
 
 
@@ -338,7 +332,7 @@ def skew_kurt(spark: SparkSession, d: str) -> DataFrame:
 
 def _ridge(spark: SparkSession, d: str):
     bars = portfolio.returns(daily_panel(spark, d))
-    wide = compute(bars, specs(MODEL), keep=("fwd",)).withColumn("fwd", _held("fwd"))
+    wide = compute(bars, specs(MODEL), keep=("fwd",))
     data = ridge.matrix(wide, MODEL, "fwd")
     span = bars.agg(F.min("d").cast("string"), F.max("d").cast("string")).first()
     return ridge.walk_forward(data, MODEL, "fwd", ridge.expanding_folds(*span))

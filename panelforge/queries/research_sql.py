@@ -96,8 +96,8 @@ _T = f"""{F},
 def _book(centred: bool) -> str:
     s = "z - avg(z) OVER (PARTITION BY d)" if centred else "z"
     return f"""{_T},
-  bk AS (SELECT d, greatest(-0.5, least(0.5, fwd)) AS fwd, fwd IS NULL AS none, {s} AS s FROM tr),
-  bw AS (SELECT d, CASE WHEN NOT none THEN fwd END AS fwd, s / nullif(sum(abs(s)) OVER (PARTITION BY d), 0) AS w FROM bk),
+  bk AS (SELECT d, fwd, {s} AS s FROM tr),
+  bw AS (SELECT d, fwd, s / nullif(sum(abs(s)) OVER (PARTITION BY d), 0) AS w FROM bk),
   pf AS (SELECT d, coalesce(sum(w * fwd), 0) AS ret FROM bw GROUP BY 1),
   eq AS (SELECT d, ret, product(1 + ret) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS equity FROM pf),
   dd AS (SELECT d, ret, equity, equity / nullif(max(equity) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING), 0) - 1 AS drawdown FROM eq)"""

@@ -45,4 +45,16 @@ def test_from_day_nulls_and_empty(spark):
     assert sorted((r.day - DAY0).days for r in got) == [29, 30, 31] and all(r.symbol is None for r in got)
     assert [r.v_sum_30 for r in got if r.day == d(31)] == [2.0]
     big = [r for r in t.totals(df, ["v"]).collect() if r.symbol == "short" and r.day == d(31)]
-    assert big[0].v_n_7 == 0  # beyond the exact sum counts as missing
+    assert (big[0].v_n_7, big[0].v_sum_7) == (1, float("inf"))  # beyond the exact sum it counts as infinite
+
+
+def test_amounts_of_any_size_leave_no_trace(spark):
+    values = [1e23, 1e-12, 3.25, -2e22, 1e-30, 7e15, float("inf"), 0.1, float("nan"), 2e35, -2e35, 0.3, 0.2]
+    rows = [("e", "s", dt.date(2024, 1, 1) + dt.timedelta(days=3 * i), v) for i, v in enumerate(values)]
+    got = {r.day: (r.x_sum_2, r.x_n_2, r.x_sum_5) for r in t.totals(spark.createDataFrame(rows, "exchange string, symbol string, day date, x double"), ["x"], (2, 5)).collect()}
+    for i, v in enumerate(values):
+        day = rows[i][2]
+        one = None if v != v else float("inf") if v >= 1e30 else -float("inf") if v <= -1e30 else v
+        assert got[day][:2] == ((one if one is not None else 0.0), int(one is not None))
+        assert got.get(day + dt.timedelta(days=2), (0.0, 0))[:2] == (0.0, 0)  # exactly
+    assert got[rows[1][2]][2] == 1e23 + 1e-12 and got[rows[5][2]][2] == 7e15 and got[rows[10][2]][2] is None
