@@ -1,11 +1,14 @@
 """Exact column profiles of every load of a table, and how loads drift apart.
 
 Every value of every column is unpivoted into (column, key, load), where the key
-is a 64-bit integer in the order of the values. Explicit bounds cut each column
-into ranges; a range is one sorted group. Counts of the ranges before it (the
-prefix counts) turn positions inside a range into exact global positions, so
-quantiles, distinct counts and the most frequent value are exact, and the merged
-cumulative curves of the loads give exact Kolmogorov-Smirnov distances.
+is a 64-bit integer in the order of the values. Bounds cut each column into
+ranges; a range is one sorted group. Counts of the ranges before it (the prefix
+counts) turn positions inside a range into exact global positions, so quantiles,
+distinct counts and the most frequent value are exact, and the merged cumulative
+curves of the loads give exact Kolmogorov-Smirnov distances.
+
+The table is read once for its numbers: tasks sort what they read into runs and
+write these, and bounds, counts and ranges come from the runs.
 
 Values travel as sorted runs (key, load, count) in array columns: a value that
 fills a third of the table is one run a batch, and no row is a JVM object.
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Rows taken to place the range bounds; they steer the balance of the work, never a result.
-BOUND_SAMPLE_ROWS = 100_000
+#: Evenly spaced keys a full pack of runs gives to place the range bounds; they steer the balance of the work, never a result.
+BOUND_POINTS = 64
 #: Aimed-at values of a range, and rows a map task packs at once.
 RANGE_VALUES, PACK_ROWS = 400_000, 400_000
 #: Stands for a null load in arrays; it comes out as null again.
@@ -35,8 +38,9 @@ QUANTILES = (0.25, 0.5, 0.75)
 
 _NUMERIC = {"double": "f", "float": "f", "long": "i", "integer": "i", "short": "i", "byte": "i", "boolean": "i", "timestamp": "i", "date": "i"}
 _RUNS = "column_name string, bucket int, keys array<bigint>, loads array<int>, counts array<bigint>"
+_PACKED = "column_name string, n bigint, points array<bigint>, keys array<bigint>, loads array<int>, counts array<bigint>"
 _COUNTS = "column_name string, bucket int, load int, n bigint"
-_PART = "column_name string, load int, n bigint, n_distinct bigint, lo bigint, hi bigint, top bigint, q25 bigint, q50 bigint, q75 bigint, up double, down double, prev double"
+_PART = "column_name string, load int, n bigint, n_distinct bigint, lo bigint, hi bigint, top bigint, q25 bigint, q50 bigint, q75 bigint, up double, down double, prev double, whole_up double, whole_down double"
 
 
 def to_keys(x: np.ndarray) -> np.ndarray:
@@ -101,44 +105,79 @@ def runs(keys: np.ndarray, loads: np.ndarray, counts: np.ndarray | None = None)
     return keys[first], loads[first], n.astype(np.int64)
 
 
-def _mapper(columns: list[str], bounds: dict[str, np.ndarray], count_only: bool):
-    def count(batches):
-        total: dict[tuple[str, int, int], int] = {}
+def _lists(*columns: np.ndarray) -> list[pa.ListArray]:
+    """Each array as the one list of its column."""
+    return [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in columns]
+
+
+def _packer(columns: list[str]):
+    """One row a column and pack: its values as sorted runs, and some of them, evenly spaced."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _packs(batches):
             for i, c in enumerate(columns):
                 keys, loads = _values(t, i)
+                if not len(keys):
+                    continue
+                total = len(keys)
+                keys, loads, n = runs(keys, loads)
+                take = max(1, BOUND_POINTS * total // PACK_ROWS)
+                points = keys[np.searchsorted(np.cumsum(n), (np.arange(take) + 0.5) * total / take)]
+                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([total], pa.int64()), *_lists(points, keys, loads.astype(np.int32), n)], names=[x.split()[0] for x in _PACKED.split(", ")])
+
+    return pack
+
+
+def _unlist(batch: pa.RecordBatch, row: int, *names: str) -> list[np.ndarray]:
+    return [batch.column(c)[row].values.to_numpy() for c in names]
+
+
+def _counter(bounds: dict[str, np.ndarray]):
+    """Values by column, range and load, added up over the packs of a task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int, int], int] = {}
+        for b in batches:
+            for row, c in enumerate(b.column("column_name").to_pylist()):
+                keys, loads, n = _unlist(b, row, "keys", "loads", "counts")
                 both = np.searchsorted(bounds[c], keys, side="right").astype(np.int64) << 32 | (loads.astype(np.int64) - NO_LOAD)
-                for k, n in zip(*(x.tolist() for x in np.unique(both, return_counts=True)), strict=True):
-                    at = (c, k >> 32, (k & 0xFFFFFFFF) + NO_LOAD)
-                    total[at] = total.get(at, 0) + n
+                groups, at = np.unique(both, return_inverse=True)
+                for k, m in zip(groups.tolist(), np.bincount(at, n).astype(np.int64).tolist(), strict=True):
+                    where = (c, k >> 32, (k & 0xFFFFFFFF) + NO_LOAD)
+                    total[where] = total.get(where, 0) + m
         if total:
-            c, b, l = zip(*total, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(b, pa.int32()), pa.array(l, pa.int32()), pa.array(list(total.values()), pa.int64())], names=["column_name", "bucket", "load", "n"])
+            c, r, l = zip(*total, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(r, pa.int32()), pa.array(l, pa.int32()), pa.array(list(total.values()), pa.int64())], names=["column_name", "bucket", "load", "n"])
 
-    def pack(batches):
-        for t in _packs(batches):
-            for i, c in enumerate(columns):
-                keys, loads, n = runs(*_values(t, i))
-                cuts = np.r_[0, np.searchsorted(keys, bounds[c], side="left"), len(keys)]
-                at = [k for k in range(len(cuts) - 1) if cuts[k + 1] > cuts[k]]
-                if at:
-                    lists = [pa.ListArray.from_arrays(pa.array(np.r_[[cuts[k] for k in at], cuts[at[-1] + 1]].astype(np.int32)), pa.array(x)) for x in (keys, loads.astype(np.int32), n)]
-                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(at)), pa.array(at, pa.int32()), *lists], names=["column_name", "bucket", "keys", "loads", "counts"])
+    return count
 
-    return count if count_only else pack
 
+def _cutter(bounds: dict[str, np.ndarray]):
+    """The runs of each pack, cut into ranges."""
 
-def _bounds(flat: DataFrame, columns: list[str], rows: int) -> dict[str, np.ndarray]:
-    """Keys that cut each column into ranges of about RANGE_VALUES, from a bounded sample."""
-    ranges = max(1, -(-rows // RANGE_VALUES))
-    if ranges == 1:
-        return {c: np.zeros(0, np.int64) for c in columns}
-    t = flat.sample(min(1.0, BOUND_SAMPLE_ROWS / rows), seed=7).limit(2 * BOUND_SAMPLE_ROWS).toArrow()
-    out = {}
-    for i, c in enumerate(columns):
-        keys = np.sort(_values(t, i)[0])
-        at = np.arange(1, ranges) * len(keys) // ranges
-        out[c] = np.unique(keys[at]) if len(keys) else np.zeros(0, np.int64)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, c in enumerate(b.column("column_name").to_pylist()):
+                keys, loads, n = _unlist(b, row, "keys", "loads", "counts")
+                cuts = np.r_[0, np.searchsorted(keys, bounds[c], side="left"), len(keys)]
+                at = [k for k in range(len(cuts) - 1) if cuts[k + 1] > cuts[k]]
+                ends = pa.array(np.r_[[cuts[k] for k in at], cuts[at[-1] + 1]].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys, loads, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([c] * len(at)), pa.array(at, pa.int32()), *lists], names=["column_name", "bucket", "keys", "loads", "counts"])
+
+    return cut
+
+
+def _bounds(packed: DataFrame, columns: list[str]) -> dict[str, np.ndarray]:
+    """Keys that cut each column into ranges of about RANGE_VALUES, from the packs' points; a row a column comes to the driver."""
+    out = {c: np.zeros(0, np.int64) for c in columns}
+    sizes = packed.groupBy("column_name").agg(F.sum("n").alias("n")).collect()
+    for ranges in {-(-r.n // RANGE_VALUES) for r in sizes} - {1}:
+        wide = [r.column_name for r in sizes if -(-r.n // RANGE_VALUES) == ranges]
+        points = packed.filter(F.col("column_name").isin(wide)).select("column_name", F.explode("points").alias("p"))
+        at = F.percentile_approx("p", [float(k) / ranges for k in range(1, ranges)], max(10_000, 10 * ranges))
+        for r in points.groupBy("column_name").agg(at.alias("cuts")).collect():
+            out[r.column_name] = np.unique(np.array(r.cuts, np.int64))
     return out
 
 
@@ -150,8 +189,8 @@ def _range_profile(key, left: pa.Table, right: pa.Table) -> pa.Table:
     ids = right.column("load").to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
-    before, total, prior = (right.column(c).to_numpy()[order] for c in ("before", "total", "prior"))
-    all_before, all_total = before.sum(), total.sum()
+    before, total, prior, rows = (right.column(c).to_numpy()[order] for c in ("before", "total", "prior", "rows"))
+    all_before, all_total, all_rows = before.sum(), total.sum(), right.column("all_rows").to_numpy()[0]
 
     ends = np.flatnonzero(np.r_[keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(0, int)
     group = np.searchsorted(ends, np.arange(len(keys)))
@@ -171,6 +210,10 @@ def _range_profile(key, left: pa.Table, right: pa.Table) -> pa.Table:
         end = (curve[i][-1] if len(x) else before[i]) / total[i]
         up = (mine - at_all).max(initial=0.0)
         down = max(0.0, (before_all - mine_before).max(initial=0.0), all_end - end)
+        # the same curves over all rows: missing values lie beyond the greatest
+        have, have_all = total[i] / rows[i], all_total / all_rows
+        whole_up = (mine * have - at_all * have_all).max(initial=end * have - all_end * have_all)
+        whole_down = max((before_all * have_all - mine_before * have).max(initial=0.0), all_end * have_all - end * have)
         q = []
         for p in QUANTILES:  # the value of rank ceil(p * n), counted from one
             rank = max(1, int(np.ceil(p * total[i])))
@@ -185,36 +228,45 @@ def _range_profile(key, left: pa.Table, right: pa.Table) -> pa.Table:
             at_x = np.abs(mine - b[np.searchsorted(group[y], group[x], side="right") - 1] / total[p]).max(initial=0.0)
             at_y = np.abs(curve[p] / total[p] - a[np.searchsorted(group[x], group[y], side="right") - 1] / total[i]).max(initial=0.0)
             prev = float(max(at_x, at_y))
-        out.append((name, int(ids[i]), int(n[x].sum()), len(x), int(keys[x[0]]) if len(x) else None, int(keys[x[-1]]) if len(x) else None, int(n[x].max(initial=0)), *q, float(up), float(down), prev))
+        out.append((name, int(ids[i]), int(n[x].sum()), len(x), int(keys[x[0]]) if len(x) else None, int(keys[x[-1]]) if len(x) else None, int(n[x].max(initial=0)), *q, float(up), float(down), prev, float(whole_up), float(whole_down)))
     cols = list(zip(*out, strict=True))
-    kinds = [pa.string(), pa.int32(), *[pa.int64()] * 8, *[pa.float64()] * 3]
+    kinds = [pa.string(), pa.int32(), *[pa.int64()] * 8, *[pa.float64()] * 5]
     names = [f.split()[0] for f in _PART.split(", ")]
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-def numeric_profile(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
+def numeric_profile(df: DataFrame, load: str, columns: list[str], rows: DataFrame) -> DataFrame:
     """Exact order statistics per (column, load): n, n_distinct, min, max, quartiles, most frequent count, KS distances.
 
+    :param rows: (``load``, n_rows), one row a load.
+
     Quantile p is the value of rank ceil(p·n). ``ks_rest`` is the distance to
     all other loads together (null where there are none), ``ks_prev`` to the
-    load with values of that column that comes before it by id.
+    load with values of that column that comes before it by id; ``ks_all`` is
+    that to the other loads when missing values count as well, as greater than
+    any.
     """
     kinds = _kinds(df, columns)
-    flat = _flat(df, load, columns)
-    bounds = _bounds(flat, columns, df.count())
-    counts = flat.mapInArrow(_mapper(columns, bounds, True), _COUNTS).groupBy("column_name", "bucket", "load").agg(F.sum("n").alias("n"))
+    packed = materialize(_flat(df, load, columns).mapInArrow(_packer(columns), _PACKED), "profile-runs")
+    bounds = _bounds(packed, columns)
+    of_load = rows.select(F.coalesce(F.col(load).cast("int"), F.lit(NO_LOAD)).alias("load"), F.col("n_rows").alias("rows"))
+    of_load = of_load.withColumn("all_rows", F.sum("rows").over(Window.partitionBy(F.lit(1))))  # one row a load
+    sides = packed.select("column_name", "keys", "loads", "counts")
+    counts = sides.mapInArrow(_counter(bounds), _COUNTS).groupBy("column_name", "bucket", "load").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "profile-counts")
     # every (column, load) in every range of the column: ranges and loads are few, values are not among the rows
     totals = counts.groupBy("column_name", "load").agg(F.sum("n").alias("total"))
     totals = totals.withColumn("prior", F.coalesce(F.lag("load").over(Window.partitionBy("column_name").orderBy("load")), F.lit(NO_PRIOR)))
+    totals = totals.join(of_load, "load")
     grid = totals.join(counts.select("column_name", "bucket").distinct(), "column_name").join(counts, ["column_name", "bucket", "load"], "left")
     w = Window.partitionBy("column_name", "load").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     prefix = grid.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    packed = flat.mapInArrow(_mapper(columns, bounds, False), _RUNS)
-    part = packed.groupBy("column_name", "bucket").cogroup(prefix.groupBy("column_name", "bucket")).applyInArrow(_range_profile, _PART)
+    part = sides.mapInArrow(_cutter(bounds), _RUNS).groupBy("column_name", "bucket").cogroup(prefix.groupBy("column_name", "bucket")).applyInArrow(_range_profile, _PART)
+    part = part.join(of_load.select("load", F.col("rows").alias("n_load"), F.col("all_rows").alias("n_every")), "load")
     per = part.groupBy("column_name", "load").agg(
         F.sum("n").alias("n_values"), F.sum("n_distinct").alias("n_distinct"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("top").alias("top"),
         *[F.max(q).alias(q) for q in ("q25", "q50", "q75")], F.greatest(F.max("up"), F.max("down")).alias("d"), F.max("prev").alias("ks_prev"),
+        F.greatest(F.max("whole_up"), F.max("whole_down")).alias("w"), F.max("n_load").alias("n_load"), F.max("n_every").alias("n_every"),
     )
     per = materialize(per, "profile")  # a row a column and load; read twice from here on
     everything = per.groupBy("column_name").agg(F.sum("n_values").alias("_all"))
@@ -227,6 +279,7 @@ def numeric_profile(df: DataFrame, load: str, columns: list[str]) -> DataFrame:
         F.col("top").alias("top_count"),
         F.when(F.col("_all") > F.col("n_values"), F.col("d") * F.col("_all") / (F.col("_all") - F.col("n_values"))).alias("ks_rest"),
         "ks_prev",
+        F.when(F.col("n_every") > F.col("n_load"), F.col("w") * F.col("n_every") / (F.col("n_every") - F.col("n_load"))).alias("ks_all"),
     )
 
 
@@ -261,21 +314,37 @@ def shares(df: DataFrame, load: str, columns: list[str], patterns: dict[str, Col
     return df.groupBy(load).agg(*aggs).select(load, "n_rows", F.inline(F.array(*packed)))
 
 
-def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns: dict[str, Column] | None = None) -> DataFrame:
+def states(df: DataFrame, column: str, pattern: Column | None = None) -> Column:
+    """What a value is, as an ordered code: missing, negative, zero, broken, whole or violating its pattern."""
+    x = F.col(column)
+    missing = x.isNull() | F.isnan(x) if df.schema[column].dataType.typeName() in ("double", "float") else x.isNull()
+    bad = F.lit(False) if pattern is None else ~F.coalesce(pattern, F.lit(True))
+    return F.when(missing, 0).when(bad, 5).when(x < 0, 1).when(x == 0, 2).when(x == F.floor(x), 4).otherwise(3)
+
+
+def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns: dict[str, Column] | None = None, watched: tuple[str, ...] = ()) -> DataFrame:
     """The whole profile: one row per load and column.
 
     null and NaN count as missing; shares are of the rows (missing) or of the
     values that are there (the rest). An empty table gives no rows; a load
     whose column is all missing keeps its row with null statistics. A null load
-    is a load of its own.
+    is a load of its own. For the numeric columns ``watched`` there is also
+    ``ks_state``, the distance of a load's ``states`` from those of the others.
     """
     columns = columns or [c for c in df.columns if c != load and not df.schema[c].dataType.typeName() in ("array", "map", "struct", "binary")]
     numeric = list(_kinds(df, columns))
     texts = [c for c in columns if c not in numeric]
-    base = shares(df, load, columns, patterns)
+    base = materialize(shares(df, load, columns, patterns), "profile-shares")  # a row a column and load; read more than once
     parts = []
     if numeric:
-        parts.append(numeric_profile(df, load, numeric))
+        hidden = {f"{c}\x00state": states(df, c, (patterns or {}).get(c)) for c in watched}
+        rows = base.filter(F.col("column_name") == numeric[0]).select(load, "n_rows")
+        every = numeric_profile(df.withColumns(hidden), load, [*numeric, *hidden], rows)
+        if hidden:
+            every = materialize(every, "profile-numbers")
+            of = every.filter(F.col("column_name").isin(list(hidden))).select(F.col(load).alias("_l"), F.substring_index("column_name", "\x00", 1).alias("_c"), F.col("ks_rest").alias("ks_state"))
+            every = every.filter(~F.col("column_name").isin(list(hidden))).join(of, F.col(load).eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c")), "left").drop("_l", "_c")
+        parts.append(every)
     if texts:
         parts.append(string_profile(df, load, texts))
     stats = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
@@ -289,22 +358,32 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, patterns
     )
 
 
+#: How much farther from the other loads than the usual one a load has to lie to be nominated.
+NOMINATED = 0.02
+
+
 def drifted(profiled: DataFrame, load: str, more: float = 0.1, more_whole: float = 0.5, times: float = 5.0) -> DataFrame:
     """Loads and columns whose profile clearly leaves the usual one, the median over all loads.
 
-    A share of missing, negative, zero, pattern-violating or one same value at
-    least ``more`` above the usual, of whole numbers at least ``more_whole``
-    above, or a median more than ``times`` higher or lower. A column without
-    any value in a load leaves by its missing share.
+    The Kolmogorov-Smirnov distance to the other loads nominates, that of the
+    values (``ks_all``) or of their states (``ks_state``): at least NOMINATED
+    above the median distance, or none because the load has no value. Of those,
+    a load leaves if a share of missing, negative, zero, pattern-violating or
+    one same value is at least ``more`` above the usual, of whole numbers at
+    least ``more_whole``, or its median more than ``times`` higher or lower.
     """
     watched = {"missing_share": more, "negative_share": more, "zero_share": more, "bad_share": more, "top_share": more, "whole_share": more_whole}
+    distances = [c for c in ("ks_all", "ks_state") if c in profiled.columns]
     profiled = materialize(profiled, "profiled")  # a row a column and load; it is read twice
-    usual = profiled.groupBy("column_name").agg(*[F.expr(f"percentile({k}, 0.5)").alias(f"usual_{k}") for k in [*watched, "median"]])
+    usual = profiled.groupBy("column_name").agg(*[F.expr(f"percentile({k}, 0.5)").alias(f"usual_{k}") for k in [*watched, "median", *distances]])
     x = profiled.join(F.broadcast(usual), "column_name")  # one row a column
+    nominated = F.col("ks_all").isNull()
+    for k in distances:
+        nominated = nominated | F.coalesce(F.col(k) >= F.col(f"usual_{k}") + NOMINATED, F.lit(False))
     leaves = [F.coalesce(F.col(k) >= F.coalesce(F.col(f"usual_{k}"), F.lit(0.0)) + least, F.lit(False)) for k, least in watched.items()]
     off = F.abs(F.ln(F.try_divide(F.col("median"), F.col("usual_median")))) > F.log(F.lit(times))
     leaves.append(F.coalesce(off, F.lit(False)))
     found = leaves[0]
     for c in leaves[1:]:
         found = found | c
-    return x.filter(found)
+    return x.filter(nominated & found)

@@ -38,14 +38,17 @@ def p1_files(spark: SparkSession, d: str) -> DataFrame:
     return compaction.file_report(table(spark, d, "bar_files"), TARGET_BYTES)
 
 
-def _profiled(spark: SparkSession, d: str) -> DataFrame:
+_WATCHED = ("volume", "taker_buy_vol", "n_trades")
+
+
+def _profiled(spark: SparkSession, d: str, watched: tuple[str, ...] = ()) -> DataFrame:
     bars = table(spark, d, "ohlcv_1d")
     patterns = {
         "taker_buy_vol": F.col("taker_buy_vol") <= clean(F.col("volume")),
         "symbol": F.col("symbol").rlike("^[A-Z0-9]+$"),
         "exchange": F.col("exchange").rlike("^[a-z0-9-]+$"),
     }
-    return profile.profile(bars, "load_id", patterns=patterns)
+    return profile.profile(bars, "load_id", patterns=patterns, watched=watched)
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +60,7 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Loads whose volume, taker_buy_vol or n_trades leaves what most loads show."""
-    watched = _profiled(spark, d).filter(F.col("column_name").isin("volume", "taker_buy_vol", "n_trades"))
+    watched = _profiled(spark, d, _WATCHED).filter(F.col("column_name").isin(*_WATCHED))
     # whole numbers are a finding for the two volumes only
     watched = watched.withColumn("whole_share", F.when(F.col("column_name") != "n_trades", F.col("whole_share")))
     return profile.drifted(watched, "load_id").select("load_id", "column_name")
@@ -128,16 +131,13 @@ BARS_CTE = f"""b AS (SELECT bar_id, load_id, exchange, upper(trim(symbol)) AS sy
 _NEW = "row_number() OVER (PARTITION BY exchange, symbol, day ORDER BY load_id DESC NULLS LAST, bar_id DESC NULLS LAST)"
 
 
-def _p2_sql(found: bool) -> str:
-    numbers = ["ts_open", "ts_close", "open", "high", "low", "close", "volume", "quote_vol", "n_trades", "taker_buy_vol"]
-    floats = {"open", "high", "low", "close", "volume", "quote_vol", "taker_buy_vol"}
+def _p2_sql() -> str:
     parts = []
-    for c in numbers:
-        v = _NN(c) if c in floats else c
+    for c in _WATCHED:
+        v = _NN(c) if c in _DOUBLES else c
         bad = "CASE WHEN taker_buy_vol > CASE WHEN isnan(volume) THEN NULL ELSE volume END THEN 1 ELSE 0 END" if c == "taker_buy_vol" else "0"
         parts.append(f"SELECT load_id, '{c}' AS column_name, CAST({v} AS DOUBLE) AS v, {bad} AS bad FROM ohlcv_1d")
-    long = " UNION ALL ".join(p for p in parts if not found or any(f"'{c}'" in p for c in ("volume", "taker_buy_vol", "n_trades")))
-    base = f"""WITH x AS ({long}),
+    base = f"""WITH x AS ({" UNION ALL ".join(parts)}),
   t AS (SELECT load_id, column_name, max(n) AS top FROM (SELECT load_id, column_name, v, count(*) AS n FROM x WHERE v IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
   s AS (SELECT x.load_id, x.column_name, count(*) AS n_rows, count(*) - count(v) AS n_missing, (count(*) - count(v)) / count(*)::DOUBLE AS missing_share,
     count(*) FILTER (v = 0) / nullif(count(v), 0)::DOUBLE AS zero_share, count(*) FILTER (v < 0) / nullif(count(v), 0)::DOUBLE AS negative_share,
@@ -146,8 +146,6 @@ def _p2_sql(found: bool) -> str:
     quantile_disc(v, 0.25) AS q25, quantile_disc(v, 0.5) AS median, quantile_disc(v, 0.75) AS q75
     FROM x GROUP BY 1, 2),
   p AS (SELECT s.*, t.top / nullif(n_rows - n_missing, 0)::DOUBLE AS top_share FROM s LEFT JOIN t ON s.load_id = t.load_id AND s.column_name = t.column_name)"""
-    if not found:
-        return base
     return (
         base
         + """, u AS (SELECT column_name, median(missing_share) AS m, median(zero_share) AS z, median(negative_share) AS g, median(whole_share) AS w, median(bad_share) AS b, median(top_share) AS t, median(median) AS d FROM p GROUP BY 1)
@@ -156,6 +154,38 @@ def _p2_sql(found: bool) -> str:
     )
 
 
+def _p2_profile_sql() -> str:
+    """Distances by a self-join of cumulative counts: every load at every value of the column."""
+    doubles = [f.name for f in OHLCV_1D if f.dataType.typeName() == "double"]
+    whole = ["ts_open", "ts_close", "n_trades", "bar_id", "file_id"]
+    bad = {
+        "taker_buy_vol": f"{_NN('taker_buy_vol')} > {_NN('volume')}", "symbol": "NOT regexp_full_match(symbol, '[A-Z0-9]+')", "exchange": "NOT regexp_full_match(exchange, '[a-z0-9-]+')",
+    }
+    cells = [f"SELECT load_id, '{c}' AS c, CAST({_NN(c)} AS DOUBLE) AS v, NULL AS s, true AS number, {bad.get(c, 'NULL')} AS bad FROM ohlcv_1d" for c in doubles]
+    cells += [f"SELECT load_id, '{c}', CAST({c} AS DOUBLE), NULL, true, NULL FROM ohlcv_1d" for c in whole]
+    cells += ["SELECT load_id, 'loaded_at', CAST(epoch_us(loaded_at) AS DOUBLE), NULL, false, NULL FROM ohlcv_1d"]
+    cells += [f"SELECT load_id, '{c}', NULL, {c}, false, {bad[c]} FROM ohlcv_1d" for c in ("exchange", "symbol")]
+    share = lambda test: f"CASE WHEN bool_or(number) THEN count(*) FILTER ({test}) / nullif(count(v), 0)::DOUBLE END"
+    cum = lambda x: f"sum({x}) OVER (PARTITION BY c, load_id ORDER BY v)"
+    far = lambda mine, own, every, total: f"abs({mine} / {own}::DOUBLE - ({every} - {mine}) / nullif({total} - {own}, 0)::DOUBLE)"
+    return f"""WITH x AS ({" UNION ALL ".join(cells)}),
+  a AS (SELECT load_id, c, count(*) AS n_rows, count(*) - count(coalesce(CAST(v AS VARCHAR), s)) AS n_missing, count(v) AS nv, {share("v = 0")} AS zero_share, {share("v < 0")} AS negative_share, {share("v = floor(v)")} AS whole_share,
+    CASE WHEN c IN ('taker_buy_vol', 'symbol', 'exchange') THEN count(*) FILTER (bad) / nullif(count(coalesce(CAST(v AS VARCHAR), s)), 0)::DOUBLE END AS bad_share,
+    count(DISTINCT coalesce(CAST(v AS VARCHAR), s)) AS n_distinct, min(v) AS min_value, quantile_disc(v, 0.25) AS q25, quantile_disc(v, 0.5) AS median, quantile_disc(v, 0.75) AS q75, max(v) AS max_value, min(s) AS min_text, max(s) AS max_text
+    FROM x GROUP BY 1, 2),
+  t AS (SELECT load_id, c, max(n) AS top FROM (SELECT load_id, c, v, s, count(*) AS n FROM x WHERE v IS NOT NULL OR s IS NOT NULL GROUP BY ALL) GROUP BY 1, 2),
+  n AS (SELECT c, v, load_id, count(*) AS n FROM x WHERE v IS NOT NULL GROUP BY 1, 2, 3),
+  l AS (SELECT load_id, c, nv, n_rows, lag(load_id) OVER (PARTITION BY c ORDER BY load_id) AS prior, sum(nv) OVER (PARTITION BY c) AS nall, (SELECT count(*) FROM ohlcv_1d) AS rall FROM a WHERE nv > 0),
+  g AS (SELECT l.c, l.load_id, u.v, coalesce(n.n, 0) AS n, u.n AS every FROM (SELECT c, v, sum(n) AS n FROM n GROUP BY 1, 2) u JOIN l ON l.c = u.c LEFT JOIN n ON n.c = u.c AND n.v = u.v AND n.load_id = l.load_id),
+  f AS (SELECT c, load_id, v, {cum("n")} AS f, {cum("every")} AS e FROM g),
+  d AS (SELECT f.c, f.load_id, max({far("f.f", "nv", "f.e", "nall")}) AS ks_rest, max(abs(f.f / nv::DOUBLE - p.f / p.pn::DOUBLE)) AS ks_prev, max({far("f.f", "n_rows", "f.e", "rall")}) AS ks_all
+    FROM f JOIN l ON l.c = f.c AND l.load_id = f.load_id LEFT JOIN (SELECT f.*, nv AS pn FROM f JOIN l USING (c, load_id)) p ON p.c = f.c AND p.v = f.v AND p.load_id = l.prior GROUP BY 1, 2)
+  SELECT a.load_id, a.c AS column_name, n_rows, n_missing, round(n_missing / n_rows::DOUBLE, 9) AS missing_share, {", ".join(f"round({k}_share, 9) AS {k}_share" for k in ("zero", "negative", "whole", "bad"))},
+    round(top / nullif(n_rows - n_missing, 0)::DOUBLE, 9) AS top_share, CASE WHEN n_rows > n_missing THEN n_distinct END AS n_distinct, min_value, q25, median, q75, max_value,
+    round(ks_rest, 9) AS ks_rest, round(ks_prev, 9) AS ks_prev, round(ks_all, 9) AS ks_all, min_text, max_text
+  FROM a LEFT JOIN t ON a.load_id = t.load_id AND a.c = t.c LEFT JOIN d ON a.load_id = d.load_id AND a.c = d.c"""
+
+
 _P3_SQL = f"""WITH {BARS_CTE},
   r AS (SELECT exchange, symbol, day, close FROM (SELECT *, {_NEW} AS rn FROM b WHERE close IS NOT NULL) WHERE rn = 1),
   k AS (SELECT exchange, symbol, day, close AS y, lag(day) OVER w AS xp, lag(close) OVER w AS yp, lead(day) OVER w AS x1, lead(close) OVER w AS y1, lead(day, 2) OVER w AS x2, lead(close, 2) OVER w AS y2
@@ -241,7 +271,8 @@ SQL = {
   count(*) FILTER (coalesce(committed, false)) AS n_files, count(*) FILTER (NOT coalesce(committed, false)) AS n_uncommitted,
   CAST(coalesce(sum(coalesce(n_bytes, 0)) FILTER (coalesce(committed, false)), 0) AS BIGINT) AS n_bytes,
   count(*) FILTER (coalesce(committed, false) AND coalesce(n_bytes, 0) < {TARGET_BYTES // 2}) AS n_small FROM bar_files GROUP BY 1, 2)""",
-    "p2_found": _p2_sql(True),
+    "p2_found": _p2_sql(),
+    "p2_profile": _p2_profile_sql(),
     "p3_found": _P3_SQL + " SELECT exchange, symbol, day FROM out WHERE status <> 'observed'",
     "p3_grid": _P3_SQL + " SELECT exchange, symbol, day, close, status FROM out",
     "p4_found": _p4_sql(),

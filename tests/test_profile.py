@@ -38,7 +38,7 @@ def test_numeric_profile_is_exact(spark, monkeypatch, ranges):
     rows = [(int(rng.integers(1, 6)), float(rng.choice([0.0, rng.normal(), -1e300, 5e-324, rng.integers(-3, 3)])), int(rng.integers(-5, 2**60)) if rng.random() > 0.1 else None) for _ in range(400)]
     rows += [(6, NAN, None), (1, NAN, 3), (7, -0.0, -(2**62))]
     df = spark.createDataFrame(rows, "load int, x double, n bigint").repartition(3)
-    got = p.numeric_profile(df, "load", ["x", "n"]).collect()
+    got = p.numeric_profile(df, "load", ["x", "n"], df.groupBy("load").agg(F.count("*").alias("n_rows"))).collect()
     for column, at in (("x", 1), ("n", 2)):
         want = brute([(r[0], float(r[at]) if r[at] is not None else NAN) for r in rows])
         have = {r.load: r for r in got if r.column_name == column}
@@ -48,6 +48,8 @@ def test_numeric_profile_is_exact(spark, monkeypatch, ranges):
             mine = (r.n_values, r.n_distinct, r.min_value, r.q25, r.median, r.q75, r.max_value, r.top_count, r.ks_rest, r.ks_prev)
             for a, b in zip(mine, w, strict=True):
                 assert (a is None and b is None) or a == pytest.approx(b, rel=1e-12), (column, l, mine, w)
+            top = [(k, float(v) if v is not None and v == v else 1e308) for k, v in ((q[0], q[at]) for q in rows)]
+            assert r.ks_all == pytest.approx(ks(np.array([v for k, v in top if k == l]), np.array([v for k, v in top if k != l])), rel=1e-12)
 
 
 @settings(max_examples=200, deadline=None)
@@ -94,7 +96,11 @@ def test_drift_rules(spark):
                 x = -x
             rows.append((l, x))
     df = spark.createDataFrame(rows, "load int, x double")
-    assert sorted(r.load for r in p.drifted(p.profile(df, "load"), "load").collect()) == [3, 5, 7, 9]
+    profiled = p.profile(df, "load", watched=("x",))
+    assert {r.load: r.ks_state for r in profiled.collect()}[7] == pytest.approx(10 / 11)  # load 5 is whole as well
+    assert sorted(r.load for r in p.drifted(profiled, "load").collect()) == [3, 5, 7, 9]
+    near = p.drifted(profiled.withColumns({"ks_all": F.lit(0.1), "ks_state": F.lit(0.1)}), "load")
+    assert near.count() == 0  # without a distance there is no finding
 
 
 def test_values_of_one_kind_fold_to_runs():
