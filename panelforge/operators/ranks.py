@@ -15,13 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-_EDGE = "part int, g string, n bigint, first double, first_once bigint, w_first bigint, n_first bigint, last double, last_once bigint, n_last bigint, s1 double, s2 double, s3 double"
+_EDGE = "part int, g string, n array<bigint>, first double, first_once bigint, w_first bigint, n_first array<bigint>, last double, last_once bigint, n_last array<bigint>, s1 double, s2 double, s3 double"
 _RANKED = "g string, id bigint, v double, below bigint, upto bigint, size bigint, skew double"
+_AMONG = "g string, id bigint, mask bigint, below array<bigint>, upto array<bigint>, size array<bigint>"
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int]]:
@@ -36,82 +37,86 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int]]:
             yield names[codes[a]], a, z
 
 
-def _weights(v: np.ndarray, once: np.ndarray, counted: np.ndarray, each: bool, before: tuple | None) -> np.ndarray:
-    """What each sorted row counts: nothing unless ``counted``, nor where it repeats the row before it (unless ``each`` row counts)."""
-    if each:
-        return counted.astype(np.int64)
-    new = np.r_[before is None or (v[0], once[0]) != before, (v[1:] != v[:-1]) | (once[1:] != once[:-1])]
-    return (counted & new).astype(np.int64)
+def _weights(v: np.ndarray, once: np.ndarray, mask: np.ndarray, bits: int, each: bool, before: tuple | None) -> np.ndarray:
+    """What each sorted row counts among the rows of each bit: nothing unless its bit is set, nor where it repeats the row before it (unless ``each`` row counts)."""
+    w = (mask[:, None] >> np.arange(bits)) & 1
+    if not each:
+        w[np.r_[before is not None and (v[0], once[0]) == before, (v[1:] == v[:-1]) & (once[1:] == once[:-1])]] = 0
+    return w
 
 
-def _columns(t, a: int = 0, z: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(t.column(c).to_numpy(zero_copy_only=False)[a:z] if isinstance(t, pa.RecordBatch) else t.column(c).to_numpy()[a:z] for c in ("v", "once", "counted"))
+def _columns(t) -> tuple[np.ndarray, ...]:
+    return tuple(t.column(c).to_numpy() for c in ("v", "once", "mask"))
 
 
-def _summarizer(each: bool):
+def _summarizer(bits: int, each: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
+        found: dict[str, dict] = {}
         for b in batches:
             every = _columns(b)
             for g, a, z in _pieces(b):
-                v, once, counted = (c[a:z] for c in every)
+                v, once, mask = (c[a:z] for c in every)
                 s = found.get(g)
-                w = _weights(v, once, counted, each, (s[6], s[7]) if s else None)
+                w = _weights(v, once, mask, bits, each, (s["last"], s["last_once"]) if s else None)
                 if s is None:
-                    s = found[g] = [0, float(v[0]), int(once[0]), 0 if each else int(w[0]), 0, 0, float(v[0]), int(once[0]), 0, 0.0, 0.0, 0.0]
-                s[0] += int(w.sum())
-                s[4] += int(w[v == s[1]].sum())
-                if v[-1] != s[6]:
-                    s[8] = 0
-                s[6], s[7] = float(v[-1]), int(once[-1])
-                s[8] += int(w[v == s[6]].sum())
+                    none = np.zeros(bits, np.int64)
+                    s = found[g] = {"n": none, "first": float(v[0]), "first_once": int(once[0]), "w_first": 0 if each else int(mask[0]), "n_first": none, "last": float(v[0]), "last_once": 0, "n_last": none, "s1": 0.0, "s2": 0.0, "s3": 0.0}
+                s["n"] = s["n"] + w.sum(axis=0)
+                s["n_first"] = s["n_first"] + w[v == s["first"]].sum(axis=0)
+                if v[-1] != s["last"]:
+                    s["n_last"] = np.zeros(bits, np.int64)
+                s["last"], s["last_once"] = float(v[-1]), int(once[-1])
+                s["n_last"] = s["n_last"] + w[v == s["last"]].sum(axis=0)
                 for k in (1, 2, 3):
-                    s[8 + k] += float((w * v**k).sum())
+                    s[f"s{k}"] += float((w[:, 0] * v**k).sum())
         if found:
-            rows = [[s[i] for i in (0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11)] for s in found.values()]
-            cols = [[TaskContext.get().partitionId()] * len(found), list(found), *map(list, zip(*rows, strict=True))]
-            i, f = pa.int64(), pa.float64()
-            kinds = [pa.int32(), pa.string(), i, f, i, i, i, f, i, i, f, f, f]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _EDGE.split(", ")])
+            names = [x.split()[0] for x in _EDGE.split(", ")]
+            i, f, many = pa.int64(), pa.float64(), pa.list_(pa.int64())
+            kinds = [pa.int32(), pa.string(), many, f, i, i, many, f, i, many, f, f, f]
+            cols = [[TaskContext.get().partitionId()] * len(found), list(found), *[[s[c] for s in found.values()] for c in names[2:]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return run
 
 
-def offsets(edges: list[tuple], each: bool = True) -> dict[tuple[int, str], tuple]:
-    """Of each (partition, group): what counts before it, ties of its first value before it, ties of its last after it, the group's count and skewness, and whether its first row repeats the last before it."""
+def offsets(edges: list[dict], each: bool = True) -> dict[tuple[int, str], tuple]:
+    """Of each (partition, group): what counts before it, ties of its first value before it, ties of its last after it, the group's count (arrays, a cell a bit), its skewness, and whether its first row repeats the last before it."""
     out = {}
     groups = defaultdict(list)
-    for e in sorted(edges, key=lambda e: (e[1], e[0])):
-        groups[e[1]].append(list(e))
+    for e in sorted(edges, key=lambda e: (e["g"], e["part"])):
+        groups[e["g"]].append(e | {c: np.array(e[c], np.int64) for c in ("n", "n_first", "n_last")})
     for g, es in groups.items():
+        bits = np.arange(len(es[0]["n"]))
+        none = np.zeros(len(bits), np.int64)
         repeats = [False]
         for a, b in zip(es, es[1:], strict=False):
-            again = not each and (a[7], a[8]) == (b[3], b[4])
+            again = not each and (a["last"], a["last_once"]) == (b["first"], b["first_once"])
             repeats.append(again)
-            if again and b[5]:  # counted already
-                b[2], b[6], b[9] = b[2] - 1, b[6] - 1, b[9] - (b[3] == b[7])
+            if again:  # counted already
+                w = (b["w_first"] >> bits) & 1
+                b["n"], b["n_first"], b["n_last"] = b["n"] - w, b["n_first"] - w, b["n_last"] - w * (b["first"] == b["last"])
                 for k in (1, 2, 3):
-                    b[9 + k] -= b[3] ** k
-        n = sum(e[2] for e in es)
-        m1, m2, m3 = (sum(e[i] for e in es) / max(n, 1) for i in (10, 11, 12))
+                    b[f"s{k}"] -= w[0] * b["first"] ** k
+        n = sum(e["n"] for e in es)
+        m1, m2, m3 = (sum(e[f"s{k}"] for e in es) / max(int(n[0]), 1) for k in (1, 2, 3))
         var = m2 - m1 * m1
         skew = (m3 - 3 * m1 * m2 + 2 * m1**3) / var**1.5 if var > 1e-12 * max(m2, 1e-300) else 0.0
-        before, earlier, run, value = 0, [], 0, None
+        before, earlier, run, value = none, [], none, None
         for e in es:
-            earlier.append((before, run if e[3] == value else 0))
-            before += e[2]
-            run = e[9] + (earlier[-1][1] if e[3] == e[7] else 0)  # of the last value up to here
-            value = e[7]
-        run, value = 0, None
+            earlier.append((before, run if e["first"] == value else none))
+            before = before + e["n"]
+            run = e["n_last"] + (earlier[-1][1] if e["first"] == e["last"] else 0)  # of the last value up to here
+            value = e["last"]
+        run, value = none, None
         for e, again, (start, ties) in zip(reversed(es), reversed(repeats), reversed(earlier), strict=True):
-            later = run if e[7] == value else 0
-            out[(e[0], g)] = (start, ties, later, n, skew, again)
-            run = e[6] + (later if e[3] == e[7] else 0)
-            value = e[3]
+            later = run if e["last"] == value else none
+            out[(e["part"], g)] = (start, ties, later, n, skew, again)
+            run = e["n_first"] + (later if e["first"] == e["last"] else 0)
+            value = e["first"]
     return out
 
 
-def _ranker(known: dict, each: bool):
+def _ranker(known: dict, bits: int, each: bool, among: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         held = [b for b in batches if b.num_rows]
@@ -119,21 +124,39 @@ def _ranker(known: dict, each: bool):
             return
         t = pa.Table.from_batches(held).combine_chunks()  # one range of the sorted rows, bounded by the partitioning
         every = _columns(t)
-        rows = t.num_rows
-        below, upto, size, skew = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows)
+        below, upto, size = (np.zeros((t.num_rows, bits), np.int64) for _ in range(3))
+        skew = np.zeros(t.num_rows)
         for g, a, z in _pieces(t):
             start, earlier, later, n, s, again = known[(part, g)]
-            x, once, counted = (c[a:z] for c in every)
-            upto_row = np.r_[0, np.cumsum(_weights(x, once, counted, each, (x[0], once[0]) if again else None))]
-            below[a:z] = start + upto_row[np.searchsorted(x, x, side="left")] - np.where(x == x[0], earlier, 0)
-            upto[a:z] = start + upto_row[np.searchsorted(x, x, side="right")] + np.where(x == x[-1], later, 0)
+            x, once, mask = (c[a:z] for c in every)
+            w = _weights(x, once, mask, bits, each, (x[0], once[0]) if again else None)
+            so_far = np.vstack([np.zeros(bits, np.int64), np.cumsum(w, axis=0)])
+            below[a:z] = start + so_far[np.searchsorted(x, x, side="left")] - np.where((x == x[0])[:, None], earlier, 0)
+            upto[a:z] = start + so_far[np.searchsorted(x, x, side="right")] + np.where((x == x[-1])[:, None], later, 0)
             size[a:z], skew[a:z] = n, s
-        out = pa.table({"g": t.column("g"), "id": t.column("id"), "v": t.column("v"), "below": below, "upto": upto, "size": size, "skew": skew})
+        if among:
+            ends = pa.array(np.arange(t.num_rows + 1, dtype=np.int32) * bits)
+            ranks = {k: pa.ListArray.from_arrays(ends, pa.array(c.reshape(-1))) for k, c in (("below", below), ("upto", upto), ("size", size))}
+            out = pa.table({"g": t.column("g"), "id": t.column("id"), "mask": t.column("mask")} | ranks)
+        else:
+            out = pa.table({"g": t.column("g"), "id": t.column("id"), "v": t.column("v"), "below": below[:, 0], "upto": upto[:, 0], "size": size[:, 0], "skew": skew})
         yield from out.to_batches(max_chunksize=20_000)
 
     return run
 
 
+def _ranked(values: DataFrame, group: str, value: str, key: str, mask: Column, once: str | None, bits: int, among: bool) -> DataFrame:
+    shared_dir(values.sparkSession)
+    flat = values.select(
+        F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(value).cast("double").alias("v"),
+        (F.lit(0) if once is None else F.coalesce(F.col(once), F.lit(0))).cast("long").alias("once"), F.col(key).cast("long").alias("id"), mask.cast("long").alias("mask"),
+    )
+    order = ["g", "v", "once", "id"]
+    placed = flat.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    known = offsets([r.asDict() for r in placed.mapInArrow(_summarizer(bits, once is None), _EDGE).collect()], once is None)
+    return placed.mapInArrow(_ranker(known, bits, once is None, among), _AMONG if among else _RANKED)
+
+
 def exact_ranks(values: DataFrame, group: str, value: str, key: str, counted: str | None = None, once: str | None = None) -> DataFrame:
     """(g, id, v, below, upto, size, skew): of each row how many of its group are smaller, how many not greater, and all; and the group's skewness.
 
@@ -148,14 +171,13 @@ def exact_ranks(values: DataFrame, group: str, value: str, key: str, counted: st
     gets one row a partition and group in it. A null group is the group of the
     empty text. An empty table gives no rows.
     """
-    shared_dir(values.sparkSession)
-    each = once is None
-    flat = values.select(
-        F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(value).cast("double").alias("v"),
-        (F.lit(0) if each else F.coalesce(F.col(once), F.lit(0))).cast("long").alias("once"), F.col(key).cast("long").alias("id"),
-        (F.lit(True) if counted is None else F.coalesce(F.col(counted), F.lit(False))).alias("counted"),
-    )
-    order = ["g", "v", "once", "id"]
-    placed = flat.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
-    known = offsets([tuple(r) for r in placed.mapInArrow(_summarizer(each), _EDGE).collect()], each)
-    return placed.mapInArrow(_ranker(known, each), _RANKED)
+    mask = F.lit(1) if counted is None else F.when(F.col(counted), 1).otherwise(0)
+    return _ranked(values, group, value, key, mask, once, 1, False)
+
+
+def exact_ranks_among(values: DataFrame, group: str, value: str, key: str, mask: str, bits: int) -> DataFrame:
+    """(g, id, mask, below, upto, size), the latter three arrays: the ranks of each row among the rows of its group that have bit 0, 1, ... of ``mask`` set.
+
+    All of these come from one sort of the group. Else as ``exact_ranks``.
+    """
+    return _ranked(values, group, value, key, F.col(mask), None, bits, True)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from panelforge.operators.ranks import exact_ranks, offsets
+from panelforge.operators.ranks import exact_ranks, exact_ranks_among, offsets
 
 
 @pytest.mark.parametrize("parts", [1, 3, 16])
@@ -29,12 +29,25 @@ def test_ranks_over_partitions_and_ties(spark, parts):
 
 def _edge(part, values):
     v = np.array(values)
-    return (part, "g", len(v), v[0], 0, 0, int((v == v[0]).sum()), v[-1], 0, int((v == v[-1]).sum()), *[float((v**k).sum()) for k in (1, 2, 3)])
+    moments = {f"s{k}": float((v**k).sum()) for k in (1, 2, 3)}
+    return {"part": part, "g": "g", "n": [len(v)], "first": v[0], "first_once": 0, "w_first": 0, "n_first": [(v == v[0]).sum()], "last": v[-1], "last_once": 0, "n_last": [(v == v[-1]).sum()]} | moments
 
 
 def test_a_tie_over_many_partitions():
     o = offsets([_edge(i, v) for i, v in enumerate([[0.0, 1, 1], [1.0, 1], [1.0], [1.0, 2], [2.0]])])
-    assert [o[(p, "g")][:4] for p in range(5)] == [(0, 0, 4, 9), (3, 2, 2, 9), (5, 4, 1, 9), (6, 5, 1, 9), (8, 1, 0, 9)]
+    assert [tuple(x[0] for x in o[(p, "g")][:4]) for p in range(5)] == [(0, 0, 4, 9), (3, 2, 2, 9), (5, 4, 1, 9), (6, 5, 1, 9), (8, 1, 0, 9)]
+
+
+def test_ranks_among_many_sets_from_one_sort(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, str(rng.choice(["a", "b"])), float(rng.integers(0, 9)), int(rng.integers(0, 8))) for i in range(500)]
+    got = exact_ranks_among(spark.createDataFrame(rows, "k bigint, grp string, x double, m bigint"), "grp", "x", "k", "m", 3).collect()
+    assert len(got) == 500
+    for r in got:
+        _, g, x, _ = rows[r.id]
+        for bit in range(3):
+            v = np.array([q[2] for q in rows if q[1] == g and q[3] >> bit & 1])
+            assert (r.below[bit], r.upto[bit], r["size"][bit]) == ((v < x).sum(), (v <= x).sum(), len(v))
 
 
 @pytest.mark.parametrize("parts", [1, 5, 40])
