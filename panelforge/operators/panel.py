@@ -43,17 +43,19 @@ def neutrality(df: DataFrame, weight: str) -> DataFrame:
     return daily.agg(F.avg("net").alias("mean_net"), F.avg("gross").alias("mean_gross"))
 
 
-def forward_returns(panel: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
-    """(asset, d, h, fwd): sum of the log returns of the next h rows.
+def forward_columns(panel: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """The panel with ``fwd_{h}``: sum of the log returns of the next h rows.
 
     Row t + h must exist; missing returns in between are skipped, all missing
     sum to 0. To be taken from the whole price panel, before any filter.
     """
     w = k.series()
-    lr = panel.withColumn("_lr", k.log_change(F.col("close")))
-    cols = []
-    for h in horizons:
-        total = F.coalesce(F.sum("_lr").over(w.rowsBetween(1, h)), F.lit(0.0))
-        cols.append(F.struct(F.lit(h).alias("h"), F.when(F.lead(F.lit(1), h).over(w) == 1, total).alias("fwd")))
-    wide = lr.select("asset", "d", F.array(*cols).alias("_f"))
-    return wide.select("asset", "d", F.inline("_f")).filter(F.col("fwd").isNotNull())
+    lr = panel.withColumn("_flr", k.log_change(F.col("close")))
+    total = lambda h: F.coalesce(F.sum("_flr").over(w.rowsBetween(1, h)), F.lit(0.0))
+    return lr.withColumns({f"fwd_{h}": F.when(F.lead(F.lit(1), h).over(w) == 1, total(h)) for h in horizons}).drop("_flr")
+
+
+def forward_returns(panel: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """(asset, d, h, fwd): ``forward_columns`` in rows, without those that have no row t + h."""
+    cells = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons])
+    return forward_columns(panel, horizons).select("asset", "d", F.inline(cells)).filter(F.col("fwd").isNotNull())

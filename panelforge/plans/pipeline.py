@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import REGISTRY, FeatureSpec, compute, specs, to_long
+from ..functions.features import HORIZONS, REGISTRY, FeatureSpec, compute, specs, to_long
 from ..operators import ic, panel, qa, synthesis
+from ..session import materialize
 from ..sources.store import FeatureStore, report_json
 from .incremental import compute_range
 
@@ -19,6 +20,7 @@ CONTROLS = ("mom_20d", "rv_30d")
 class Research:
     daily: DataFrame
     summary: DataFrame
+    ortho: DataFrame
     regimes: DataFrame
     pairs: DataFrame
     ranking: DataFrame
@@ -39,25 +41,41 @@ def controls_for(feature: str) -> list[str]:
     return [c for c in CONTROLS if c != feature]
 
 
-def signals(bars: DataFrame, ids: list[str], kind: str = "raw") -> DataFrame:
-    """(asset, d, feature_id, value): features as they are, or with the controls taken out ("ortho")."""
-    wide = compute(bars, specs(sorted({*ids, *(CONTROLS if kind == "ortho" else ())})))
+def signals_wide(bars: DataFrame, ids: list[str], kind: str = "raw", horizons: tuple[int, ...] = ()) -> DataFrame:
+    """asset, d, a column a feature, and ``fwd_{h}``: features as they are, or with the controls taken out ("ortho"); all of one exchange by asset."""
+    need = [*ids, *(c for c in CONTROLS if kind == "ortho" and c not in ids)]
+    keep = [f"fwd_{h}" for h in horizons]
+    wide = compute(panel.forward_columns(bars, horizons) if horizons else bars, specs(need), tuple(keep))
     if kind == "raw":
-        return to_long(wide, ids)
-    parts = [ic.orthogonalize(wide, f, controls_for(f)).withColumn("feature_id", F.lit(f)) for f in ids]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter(F.col("value").isNotNull()).select("asset", "d", "feature_id", "value")
+        return wide.select("asset", "d", *ids, *keep)
+    return ic.residuals_wide(wide, {f: controls_for(f) for f in ids}, keep)
+
+
+def signals(bars: DataFrame, ids: list[str], kind: str = "raw") -> DataFrame:
+    """(asset, d, feature_id, value) of ``signals_wide``, without the rows that have no value."""
+    return to_long(signals_wide(bars, ids, kind), ids)
+
+
+def horizons_of(ids: list[str], horizons: tuple[int, ...] | None = None) -> dict[str, tuple[int, ...]]:
+    """The horizons each feature is studied at: those of its family, unless given."""
+    return {f: horizons or HORIZONS[REGISTRY[f].family] for f in ids}
+
+
+def coefficients(bars: DataFrame, ids: list[str], kind: str = "raw", horizons: tuple[int, ...] | None = None) -> DataFrame:
+    """Daily coefficients (feature_id, h, d, ic), written once: a row a feature, horizon and date, which several statistics are taken of."""
+    of = horizons_of(ids, horizons)
+    wide = signals_wide(bars, ids, kind, tuple(sorted({h for hs in of.values() for h in hs})))
+    return materialize(ic.daily_wide(wide, of), f"ic-{kind}")
 
 
-def research(bars: DataFrame, ids: list[str], horizons: tuple[int, ...], reference: str, horizon: int = 1) -> Research:
-    raw = signals(bars, ids)
-    daily = ic.daily(raw, panel.forward_returns(bars, horizons), horizons)
+def research(bars: DataFrame, ids: list[str], horizons: tuple[int, ...] | None, reference: str, horizon: int = 1) -> Research:
+    """Coefficients, raw and with the controls taken out, and what follows from the raw ones."""
+    daily = coefficients(bars, ids, "raw", horizons)
     summary = ic.summary(daily)
+    ortho = ic.summary(coefficients(bars, ids, "ortho", horizons))
     regimes = ic.by_regime(daily, ic.regimes(bars, reference))
-    pairs = synthesis.collinear(synthesis.correlations(raw))
-    return Research(daily, summary, regimes, pairs, synthesis.rank_features(summary, regimes, horizon), synthesis.composites(summary, pairs, horizon))
+    pairs = synthesis.collinear(synthesis.correlations_wide(signals_wide(bars, ids), ids))
+    return Research(daily, summary, ortho, regimes, pairs, synthesis.rank_features(summary, regimes, horizon), synthesis.composites(summary, pairs, horizon))
 
 
 def ic_report(r: Research, assets: list[str]) -> str:
@@ -67,6 +85,9 @@ def ic_report(r: Research, assets: list[str]) -> str:
         d = docs.setdefault(x.feature_id, {"feature_id": x.feature_id, "assets": assets, "horizons": [], "ic_mean": {}, "icir": {}, "regime": {}})
         d["horizons"].append(x.h)
         d["ic_mean"][x.h], d["icir"][x.h] = x.ic_mean, x.icir
+    for x in r.ortho.collect():
+        d = docs[x.feature_id]
+        d.setdefault("ic_mean_ortho", {})[x.h], d.setdefault("icir_ortho", {})[x.h] = x.ic_mean, x.icir
     for x in r.regimes.collect():
         d = docs[x.feature_id]["regime"].setdefault(x.h, {})
         d[x.regime] = {"mean_ic": x.mean_ic, "std_ic": x.std_ic, "icir": x.icir, "n": x.n}

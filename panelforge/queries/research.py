@@ -20,8 +20,8 @@ from ..sources.bars import bar_day, clean, daily_panel, first_per_day, micros, s
 Query = Callable[[SparkSession, str], DataFrame]
 
 HORIZONS = (1, 3, 5, 7)
-#: Features whose coefficients are studied (their SQL is of these five), and those of the ridge model (all thirteen are hardly ever there in one row).
-STUDIED = ["ret_1d", "mom_20d", "rv_30d", "reversal_5d", "cvd_20d"]
+#: Features whose coefficients are studied, and those of the smaller ridge model (all thirteen are hardly ever there in one row).
+STUDIED = list(PRICE_FEATURES)
 MODEL = ["mom_20d", "rv_30d", "reversal_5d", "taker_ratio_20d", "trades_zscore_20d"]
 #: The first asset by name is the reference of regimes and checks.
 SPOTS = ["2024-03-01", "2024-06-15", "2024-09-20"]
@@ -154,8 +154,7 @@ def dollar_neutral(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ic(spark: SparkSession, d: str, kind: str = "raw") -> DataFrame:
-    bars = daily_panel(spark, d)
-    return ic.daily(pipeline.signals(bars, STUDIED, kind), panel.forward_returns(bars, HORIZONS), HORIZONS)
+    return pipeline.coefficients(daily_panel(spark, d), STUDIED, kind)
 
 
 def ic_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -199,11 +198,31 @@ def ic_by_regime(spark: SparkSession, d: str) -> DataFrame:
     return ic.by_regime(_ic(spark, d), ic.regimes(bars, _reference(bars)))
 
 
+def ic_raw_ortho(spark: SparkSession, d: str) -> DataFrame:
+    """Both passes of a report side by side."""
+    both = [ic.summary(_ic(spark, d, kind)).withColumn("kind", F.lit(kind)) for kind in ("raw", "ortho")]
+    return _rounded(both[0].unionByName(both[1]).drop("stderr"), "ic_mean", "icir", digits=4)
+
+
+def ic_regime_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Mean coefficient by regime, however few dates it has."""
+    bars = daily_panel(spark, d)
+    return ic.by_regime(_ic(spark, d), ic.regimes(bars, _reference(bars)), 0).select("feature_id", "h", "regime", "mean_ic", "n")
+
+
+def ic_pooled(spark: SparkSession, d: str) -> DataFrame:
+    """One coefficient over all assets and dates, of each horizon, for momentum."""
+    wide = pipeline.signals_wide(daily_panel(spark, d), ["mom_20d"], "raw", HORIZONS)
+    cells = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"fwd_{h}").alias("fwd")) for h in HORIZONS])
+    out = ic.pooled(wide.select("asset", "d", "mom_20d", F.inline(cells)), ["h"], "mom_20d", "fwd")
+    return _rounded(out.withColumn("h", F.col("h").cast("int")), "ic")
+
+
 # --- synthesis --------------------------------------------------------------
 
 
 def _corr(spark: SparkSession, d: str) -> DataFrame:
-    return synthesis.correlations(pipeline.signals(daily_panel(spark, d), STUDIED))
+    return synthesis.correlations_wide(pipeline.signals_wide(daily_panel(spark, d), STUDIED), STUDIED)
 
 
 def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -382,7 +401,7 @@ def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMED = [
     bars_daily, bars_dedupe, bars_log_return, bars_hourly_events, bars_klines, *[_feature(f) for f in REGISTRY], feat_composite_ewm, feat_long_store, feat_range,
-    cs_zscore, cs_demean_weights, gross_weights, fwd_ret, dollar_neutral, ic_daily, ic_summary, ic_rolling63, ic_monthly, ic_hist, ic_ortho, ortho_residuals, regime_labels, ic_by_regime,
+    cs_zscore, cs_demean_weights, gross_weights, fwd_ret, dollar_neutral, ic_daily, ic_summary, ic_rolling63, ic_monthly, ic_hist, ic_ortho, ic_raw_ortho, ic_pooled, ortho_residuals, regime_labels, ic_by_regime, ic_regime_bars,
     corr_matrix, collinearity, rank_features, composite_weights, leaderboard, qa_distribution, qa_coverage, qa_explosion, qa_lookahead, qa_adf,
     ls_binary, ls_binary_inverted, portfolio_prop, portfolio_demeaned, equity_curve, drawdown, portfolio_summary, sharpe_summary, rolling_sharpe, sharpe_by_window, descriptives, skew_kurt,
     ridge_oos_ic, ridge_coefs, store_load_slice, store_sql_agg, plan_missing, coverage_gate,

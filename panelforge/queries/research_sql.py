@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from .problems import _DAY, _NN, _US, BARS_CTE
+from ..functions.features import REGISTRY
+from ..operators.qa import qa_warmup
+from ..plans.pipeline import horizons_of
 from .research import HORIZONS, SPOTS, STUDIED
 
 _W = "PARTITION BY asset ORDER BY d"
@@ -42,12 +45,14 @@ def _long(names: list[str], where: str = "WHERE {0} IS NOT NULL", source: str =
 _FW = f"""q AS (SELECT asset, d, ret_1d FROM f),
   fw AS ({" UNION ALL ".join(f"SELECT asset, d, {h} AS h, CASE WHEN lead(1, {h}) OVER (PARTITION BY asset ORDER BY d) = 1 THEN coalesce(sum(ret_1d) OVER (PARTITION BY asset ORDER BY d ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING), 0) END AS fwd FROM q" for h in HORIZONS)}),
   fwv AS (SELECT * FROM fw WHERE fwd IS NOT NULL)"""
-_RANK = """pr AS (SELECT s.feature_id, x.h, s.d, value, fwd FROM s JOIN fwv x ON s.asset = x.asset AND s.d = x.d),
+_HZ = ", ".join(f"('{f}', {h})" for f, hs in horizons_of(STUDIED).items() for h in hs)
+_RANK = f"""hz AS (SELECT * FROM (VALUES {_HZ}) t(feature_id, h)),
+  pr AS (SELECT s.feature_id, x.h, s.d, value, fwd FROM s JOIN hz ON s.feature_id = hz.feature_id JOIN fwv x ON s.asset = x.asset AND s.d = x.d AND x.h = hz.h),
   rk2 AS (SELECT feature_id, h, d, rank() OVER (PARTITION BY feature_id, h, d ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, h, d, value) - 1) / 2.0 AS ra,
     rank() OVER (PARTITION BY feature_id, h, d ORDER BY fwd) + (count(*) OVER (PARTITION BY feature_id, h, d, fwd) - 1) / 2.0 AS rb FROM pr),
   ic0 AS (SELECT feature_id, h, d, CASE WHEN count(*) >= 3 THEN covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) END AS ic FROM rk2 GROUP BY 1, 2, 3),
   dt AS (SELECT DISTINCT feature_id, d FROM s),
-  ic AS (SELECT dt.feature_id, hs.h, dt.d, ic0.ic FROM dt CROSS JOIN (SELECT unnest([1, 3, 5, 7]) AS h) hs LEFT JOIN ic0 ON ic0.feature_id = dt.feature_id AND ic0.h = hs.h AND ic0.d = dt.d)"""
+  ic AS (SELECT dt.feature_id, hs.h, dt.d, ic0.ic FROM dt JOIN hz hs ON dt.feature_id = hs.feature_id LEFT JOIN ic0 ON ic0.feature_id = dt.feature_id AND ic0.h = hs.h AND ic0.d = dt.d)"""
 IC = f"{F},\n  s AS ({_long(STUDIED)}),\n  {_FW},\n  {_RANK}"
 
 
@@ -76,13 +81,15 @@ _REGIME = f"""rv AS (SELECT d, rv_30d AS rv FROM f WHERE asset = (SELECT min(ass
   rg AS (SELECT d, CASE WHEN rv >= (SELECT quantile_cont(rv, 0.5) FROM rv) THEN 'high_vol' WHEN rv IS NOT NULL THEN 'low_vol' END AS regime FROM rv)"""
 _BYREG = f"""{_REGIME},
   br AS (SELECT feature_id, h, regime, avg(ic) AS m, stddev_samp(ic) AS sd, count(*) AS c FROM ic JOIN rg ON ic.d = rg.d WHERE ic IS NOT NULL AND regime IS NOT NULL GROUP BY 1, 2, 3),
-  reg AS (SELECT feature_id, h, regime, CASE WHEN c >= 10 THEN round(m, 4) END AS mean_ic, CASE WHEN c >= 10 THEN round(sd, 4) END AS std_ic, CASE WHEN c >= 10 AND sd > 0 THEN round(m / sd, 3) END AS icir, CASE WHEN c >= 10 THEN c ELSE 0 END AS n FROM br)"""
+  re0 AS (SELECT hz.feature_id, hz.h, x.regime, br.m, br.sd, coalesce(br.c, 0) AS c FROM hz CROSS JOIN (VALUES ('high_vol'), ('low_vol')) x(regime) LEFT JOIN br ON br.feature_id = hz.feature_id AND br.h = hz.h AND br.regime = x.regime WHERE hz.feature_id IN (SELECT feature_id FROM dt)),
+  reg AS (SELECT feature_id, h, regime, CASE WHEN c >= 10 THEN round(m, 4) END AS mean_ic, CASE WHEN c >= 10 THEN round(sd, 4) END AS std_ic, CASE WHEN c >= 10 AND sd > 0 THEN round(m / sd, 3) END AS icir, CASE WHEN c >= 10 THEN c ELSE 0 END AS n FROM re0)"""
 _CORR = """w2 AS (SELECT a.feature_id AS f1, b.feature_id AS f2, a.value AS x, b.value AS y FROM s a JOIN s b ON a.asset = b.asset AND a.d = b.d AND a.feature_id < b.feature_id),
   w3 AS (SELECT f1, f2, rank() OVER (PARTITION BY f1, f2 ORDER BY x) + (count(*) OVER (PARTITION BY f1, f2, x) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY f1, f2 ORDER BY y) + (count(*) OVER (PARTITION BY f1, f2, y) - 1) / 2.0 AS rb FROM w2),
   co AS (SELECT f1, f2, count(*) AS n, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS rho FROM w3 GROUP BY 1, 2)"""
 _PAIRS = "cp AS (SELECT f1, f2, round(rho, 3) AS rho, abs(rho) >= 0.7 AS flagged FROM co WHERE n >= 30 AND rho IS NOT NULL)"
 _S = f"{F},\n  s AS ({_long(STUDIED)})"
 _SALL = f"{F},\n  s AS ({_long(STUDIED, '')})"
+_WARM = ", ".join(f"('{f}', {qa_warmup(REGISTRY[f])})" for f in STUDIED)
 _REF = f"{_SALL},\n  v AS (SELECT * FROM s WHERE asset = (SELECT min(asset) FROM p))"
 _EXPL = f"""h0 AS (SELECT * FROM s WHERE value IS NOT NULL),
   h1 AS (SELECT feature_id, asset, d, {roll("value", 252, "stddev_samp", 126, "PARTITION BY feature_id, asset ORDER BY d")} AS sd FROM h0),
@@ -140,6 +147,11 @@ SQL: dict[str, str] = {
     "ic_hist": f"""{IC}, hv AS (SELECT feature_id, h, round(ic, 9) AS ic FROM ic WHERE ic IS NOT NULL), lo AS (SELECT *, min(ic) OVER w AS a, max(ic) OVER w AS z FROM hv WINDOW w AS (PARTITION BY feature_id, h))
   SELECT feature_id, h, CAST(least(40, floor(coalesce((ic - a) / nullif(z - a, 0), 0) * 40) + 1) AS INTEGER) AS bin, count(*) AS n FROM lo GROUP BY 1, 2, 3""",
     "ic_ortho": _ORTHO_IC + _summary(4),
+    "ic_raw_ortho": f"""SELECT feature_id, h, round(ic_mean, 4) AS ic_mean, round(icir, 4) AS icir, n, 'raw' AS kind FROM ({IC} {_SUMMARY}) UNION ALL SELECT feature_id, h, round(ic_mean, 4), round(icir, 4), n, 'ortho' FROM ({_ORTHO_IC} {_SUMMARY})""",
+    "ic_regime_bars": f"{IC},\n  {_BYREG} SELECT feature_id, h, regime, round(m, 4) AS mean_ic, c AS n FROM re0",
+    "ic_pooled": f"""{F},\n  {_FW}, x AS (SELECT w.h, f.mom_20d AS x, w.fwd AS y FROM f JOIN fwv w ON f.asset = w.asset AND f.d = w.d WHERE mom_20d IS NOT NULL),
+  r AS (SELECT h, rank() OVER (PARTITION BY h ORDER BY x) + (count(*) OVER (PARTITION BY h, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY h ORDER BY y) + (count(*) OVER (PARTITION BY h, y) - 1) / 2.0 AS b FROM x)
+  SELECT h, count(*) AS n, CASE WHEN count(*) >= 30 THEN round(corr(a, b), 6) END AS ic FROM r GROUP BY 1""",
     "ortho_residuals": f"{F} SELECT asset, {_D}, round(value, 6) AS value FROM ({_ortho('reversal_5d')})",
     "regime_labels": f"{F},\n  {_REGIME} SELECT {_D}, regime FROM rg",
     "ic_by_regime": f"{IC},\n  {_BYREG} SELECT * FROM reg",
@@ -157,7 +169,7 @@ SQL: dict[str, str] = {
   st AS (SELECT feature_id, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, covar_pop(value, prev) / nullif(stddev_pop(value) FILTER (prev IS NOT NULL) * stddev_pop(prev), 0) AS ac1 FROM hv GROUP BY 1),
   o AS (SELECT hv.feature_id, avg(CASE WHEN abs(value - mean) > 10 * std THEN 1.0::DOUBLE ELSE 0 END) AS outlier_share FROM hv JOIN st ON hv.feature_id = st.feature_id GROUP BY 1)
   SELECT st.feature_id, n, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, round(ac1, 6) AS ac1, round(outlier_share, 6) AS outlier_share, n >= 30 AND outlier_share < 0.01 AS passed FROM st JOIN o ON st.feature_id = o.feature_id""",
-    "qa_coverage": f"""{_SALL}, wu AS (SELECT * FROM (VALUES ('ret_1d', 1), ('mom_20d', 20), ('rv_30d', 30), ('reversal_5d', 5), ('cvd_20d', 20)) t(feature_id, k)),
+    "qa_coverage": f"""{_SALL}, wu AS (SELECT * FROM (VALUES {_WARM}) t(feature_id, k)),
   i AS (SELECT s.feature_id, asset, value, row_number() OVER (PARTITION BY s.feature_id, asset ORDER BY d) > k AS late FROM s JOIN wu ON s.feature_id = wu.feature_id),
   c AS (SELECT feature_id, asset, count(*) FILTER (late) AS n, count(*) FILTER (late AND value IS NULL) / nullif(count(*) FILTER (late), 0)::DOUBLE AS x FROM i GROUP BY 1, 2)
   SELECT feature_id, asset, n, round(x, 6) AS missing_share, coalesce(x <= 0.2, false) AS passed FROM c""",
