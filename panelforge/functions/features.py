@@ -129,12 +129,15 @@ def compute(panel: DataFrame, wanted: list[FeatureSpec], keep: tuple[str, ...] =
             added |= getattr(s, layer)(s.params)
         if added:
             out = out.withColumns(added)
-    wanted_moments: dict[str, set[int]] = {}
+    # what windows make comes first, while the rows still lie by asset; scores are put together from moments, row by row
+    moments: dict[str, set[int]] = {}
     for s in able:
         for x, lengths in s.scores(s.params).items():
-            wanted_moments.setdefault(x, set()).update(n for n in lengths if n >= k.LONG)
-    out = k.with_block_moments(out, {x: ns for x, ns in wanted_moments.items() if ns})
-    values = [s.value(s.params).alias(s.id) if s in able else F.lit(None).cast("double").alias(s.id) for s in wanted]
+            moments.setdefault(x, set()).update(lengths)
+    plain = {s.id: s.value(s.params) for s in able if not s.scores(s.params)}
+    out = out.select(k.ASSET, k.TIME, *keep, *[c.alias(i) for i, c in plain.items()], *sorted(moments))
+    out = k.with_moments(out, moments)
+    values = [F.col(s.id) if s.id in plain else (s.value(s.params) if s in able else F.lit(None).cast("double")).alias(s.id) for s in wanted]
     return out.select(k.ASSET, k.TIME, *keep, *values)
 
 

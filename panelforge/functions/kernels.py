@@ -1,4 +1,4 @@
-"""Column kernels over a panel (asset, d): every one stays a JVM expression.
+"""Column kernels over a panel (asset, d): all but long rolling windows stay JVM expressions.
 
 Windows are over rows, not calendar time. A rolling value needs a full window
 of values: any null in it makes it null. Division by zero and a spread of zero
@@ -7,8 +7,11 @@ give null, never an error.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 ASSET, TIME = "asset", "d"
 
@@ -45,54 +48,55 @@ def zscore(x: Column, n: int, w=None) -> Column:
     return div(x - roll(x, n, F.avg, w=w), spread(roll(x, n, F.stddev_samp, w=w)))
 
 
-#: From this length on a rolling window is put together from two blocks instead of being summed anew for every row.
-LONG = 45
+#: Rows whose windows are laid out at once.
+_WINDOW_ROWS = 2_048
 
 
-def with_block_moments(df: DataFrame, wanted: dict[str, set[int]]) -> DataFrame:
+def _rolling(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each n values up to a row; NaN unless all are there. No sums are carried on, so an outlier harms no window but its own."""
+    mean, sd = np.full(len(x), np.nan), np.full(len(x), np.nan)
+    if len(x) < n:
+        return mean, sd
+    windows = np.lib.stride_tricks.sliding_window_view(x, n)
+    for a in range(0, len(windows), _WINDOW_ROWS):
+        w = windows[a : a + _WINDOW_ROWS]
+        m = w.mean(axis=1)
+        m2 = np.square(w - m[:, None]).sum(axis=1)
+        at = slice(a + n - 1, a + n - 1 + len(w))
+        mean[at] = m
+        sd[at] = np.where(m2 <= n * np.square(1e-14 * m), 0.0, np.sqrt(m2 / (n - 1)))  # rounding of equal values is no spread
+    return mean, sd
+
+
+def with_moments(df: DataFrame, wanted: dict[str, set[int]]) -> DataFrame:
     """``df`` with ``_mu_{x}_{n}`` and ``_sd_{x}_{n}``, rolling mean and deviation of n rows, for the columns and lengths wanted.
 
-    A sliding frame costs n steps a row. Here rows are cut into blocks of n, so
-    any window is the end of one block and the start of the next; both have
-    running moments, at one step a row, and the two are merged without ever
-    subtracting large sums, so an outlier harms no window but its own. The
-    blocks follow the order of the series, hence no further exchange. Both
-    columns are null unless all n rows have a value.
+    A sliding frame of the engine costs n steps a row for each aggregate. Here
+    each series, a row a calendar day at most and lying together already, is one
+    array call for all columns and lengths, without a further exchange or sort.
+    Both columns are null unless all n rows have a value.
     """
-    lengths = {n: sorted(x for x, ns in wanted.items() if n in ns) for n in sorted({n for ns in wanted.values() for n in ns})}
-    if not lengths:
+    pairs = [(x, n) for x in sorted(wanted) for n in sorted(wanted[x])]
+    if not pairs:
         return df
-    w = series()
-    df = df.withColumn("_rn", F.row_number().over(w) - 1)
-    parts = ("n", "m", "v")
-    moments = lambda x, frame: dict(zip(parts, (F.count(x).over(frame), F.avg(x).over(frame), F.var_pop(x).over(frame)), strict=True))
-    for n, xs in lengths.items():
-        df = df.withColumn(f"_b{n}", F.floor(F.col("_rn") / n))
-        block = Window.partitionBy(ASSET, f"_b{n}")
-        for side, order in (("e", F.col(TIME).desc()), ("s", F.col(TIME).asc())):
-            frame = block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-            df = df.withColumns({f"_{side}{k}_{x}_{n}": c for x in xs for k, c in moments(F.col(x), frame).items()})
-    before = {f"_p{k}_{x}_{n}": F.lag(f"_e{k}_{x}_{n}", n - 1).over(w) for n, xs in lengths.items() for x in xs for k in parts}
-    df = df.withColumns(before)
-    out = {}
-    for n, xs in lengths.items():
-        whole = (F.col("_rn") + 1) % n == 0  # the window is a block
-        for x in xs:
-            get = lambda side, k, x=x, n=n: F.coalesce(F.col(f"_{side}{k}_{x}_{n}").cast("double"), F.lit(0.0))
-            na, nb = F.when(whole, 0.0).otherwise(get("p", "n")), get("s", "n")
-            c = na + nb
-            mean = F.try_divide(na * get("p", "m") + nb * get("s", "m"), c)
-            apart = get("s", "m") - get("p", "m")
-            m2 = na * get("p", "v") + nb * get("s", "v") + F.try_divide(apart * apart * na * nb, c)
-            flat = m2 <= c * F.pow(1e-14 * mean, 2)  # rounding of equal values is no spread
-            out[f"_mu_{x}_{n}"] = F.when(c >= n, mean)
-            out[f"_sd_{x}_{n}"] = F.when(c >= n, F.when(flat, 0.0).otherwise(F.sqrt(F.try_divide(m2, c - 1))))
-    return df.withColumns(out).drop("_rn", *[f"_b{n}" for n in lengths], *[f"_{s}{k}_{x}_{n}" for n, xs in lengths.items() for x in xs for k in parts for s in "esp"])
+
+    def one(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column(TIME).to_numpy(), kind="stable")
+        t = t.take(order)
+        out = {c: t.column(c) for c in t.column_names}
+        with np.errstate(all="ignore"):
+            for x, n in pairs:
+                for kind, v in zip(("mu", "sd"), _rolling(t.column(x).to_numpy().astype(float), n), strict=True):
+                    out[f"_{kind}_{x}_{n}"] = pa.array(v, pa.float64(), from_pandas=True)
+        return pa.table(out)
+
+    schema = StructType([*df.schema.fields, *[StructField(f"_{kind}_{x}_{n}", DoubleType()) for x, n in pairs for kind in ("mu", "sd")]])
+    return df.groupBy(ASSET).applyInArrow(one, schema)
 
 
 def ready_zscore(x: str, n: int) -> Column:
-    """``zscore`` of a column, from its block moments if the window is long."""
-    return zscore(F.col(x), n) if n < LONG else div(F.col(x) - F.col(f"_mu_{x}_{n}"), spread(F.col(f"_sd_{x}_{n}")))
+    """``zscore`` of a column, from its moments."""
+    return div(F.col(x) - F.col(f"_mu_{x}_{n}"), spread(F.col(f"_sd_{x}_{n}")))
 
 
 def change(x: Column, n: int = 1, w=None) -> Column:
