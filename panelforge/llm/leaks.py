@@ -31,10 +31,10 @@ RARE_SHARE, RARE_LEAST, RAREST, NEARLY = 0.0005, 8, 0.4, 5
 MIN_HITS, MIN_SEEDS, BAND, MARGIN = 6, 2, 14, 70
 #: Words whose shapes a task remembers.
 MOST_KNOWN = 300_000
-#: Words of the passage that make a case. As many words at the stretch's ends may be unreadable.
-CASE_WORDS, EDGE_WORDS = 20, 1
+#: Words of the passage that make a case.
+CASE_WORDS = 20
 #: Letters of a word that may be misread, and the words of an inserted stretch of other matter.
-NOISE, INSERTED, INSERTED_MOST = 0.4, 3, 60
+NOISE, INSERTED, INSERTED_MOST = 0.34, 3, 60
 #: A sentence of at least five words that more items than this hold is a stock sentence and left out.
 STOCK_ITEMS, STOCK_WORDS = 2, 8
 #: What words a few letters apart count, against 1 for equal ones.
@@ -196,7 +196,8 @@ def held_words(where: np.ndarray, passage: list[str], page: list[str]) -> int:
     """The longest stretch of consecutive passage words that all stand on the page one after another.
 
     Words in between may be misread; whole inserted lines may part it, also
-    within a broken word. A word replaced by another one ends the stretch.
+    within a broken word. A word replaced by another one ends the stretch. The
+    word next to either end counts if the page has it misread in its place.
     """
     found = np.flatnonzero(where >= 0).tolist()
     best = 0
@@ -217,12 +218,16 @@ def held_words(where: np.ndarray, passage: list[str], page: list[str]) -> int:
                 go_on = _misread(lost, there) if lost else len("".join(there)) <= 3
         if not go_on:
             start = piece = k
-        best = max(best, k - start + 1)
+        size = k - start + 1
+        left, right = where[start] - 1, where[k] + 1
+        size += start > 0 and left >= 0 and _misread([passage[start - 1]], [page[left]])
+        size += k + 1 < len(passage) and right < len(page) and _misread([passage[k + 1]], [page[right]])
+        best = max(best, size)
     return best
 
 
 def needed(passage: list[str]) -> int:
-    return min(CASE_WORDS, len(passage)) - EDGE_WORDS
+    return min(CASE_WORDS, len(passage))
 
 
 class Search:
@@ -367,12 +372,14 @@ def _aligner(items: list[tuple[int, str | None]], frequent: set[int]):
     return run
 
 
-def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
+def alignments(docs: DataFrame, items: DataFrame, rare_share: float = RARE_SHARE) -> DataFrame:
     """(doc_id, item_id, held, needed) of every candidate: consecutive passage words the page holds, and how many make a case.
 
     :param docs: (doc_id, text, line_boxes); other columns are ignored.
     :param items: (item_id, passage), a fixed set of evaluation items. They are
         broadcast; more than MAX_ITEMS are refused, not cut.
+    :param rare_share: the share of pages up to which a seed is rare. With 1.0
+        all seeds are, and every page that hits enough places is aligned.
 
     Null, empty and blank texts and passages hold nothing. Items of equal
     passages each get their row. Repeated documents are judged one by one. An
@@ -386,10 +393,10 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     read = materialize(pages.filter(F.length(F.trim("text")) > 0).mapInArrow(_reader(kept), "doc_id long, words string, seeds array<int>"), "pages")
     # one row a seed of the fixed items, so at most items x passage length
     pages_with = {r[0]: r[1] for r in read.select(F.explode("seeds").alias("seed")).groupBy("seed").count().collect()}
-    frequent = Search(kept).frequent(pages_with, max(RARE_LEAST, int(RARE_SHARE * docs.count())))
+    frequent = Search(kept).frequent(pages_with, max(RARE_LEAST, int(rare_share * docs.count())))
     return read.select("doc_id", "words").mapInArrow(_aligner(kept, frequent), "doc_id long, item_id long, held int, needed int")
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, rare_share: float = RARE_SHARE) -> DataFrame:
     """(doc_id, item_id) of the pages that hold enough consecutive words of an item's passage."""
-    return alignments(docs, items).filter(F.col("held") >= F.col("needed")).select("doc_id", "item_id").distinct()
+    return alignments(docs, items, rare_share).filter(F.col("held") >= F.col("needed")).select("doc_id", "item_id").distinct()
