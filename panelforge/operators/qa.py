@@ -59,21 +59,32 @@ def explosion(values: DataFrame, n: int = 252, least: int = 126) -> DataFrame:
     return out.withColumn("passed", (F.col("n") < EXPLOSION_ROWS) | F.coalesce(F.col("ratio") < EXPLOSION_TIMES, F.lit(False)))
 
 
+def spots(panel: DataFrame, n: int = 10) -> list[str]:
+    """``n`` dates of the panel, evenly spaced among those it has (all if there are fewer); ``n`` rows come to the driver."""
+    dates = panel.select("d").distinct()
+    total = F.count("*").over(Window.partitionBy(F.lit(1)))  # one row a date
+    at = dates.withColumns({"_i": F.row_number().over(Window.orderBy("d")) - 1, "_n": total})
+    slot = lambda i: F.floor((i * n + F.floor(F.lit(n) / 2)) / F.col("_n"))
+    return [str(r.d) for r in at.filter((F.col("_n") <= n) | (slot(F.col("_i")) != slot(F.col("_i") - 1))).orderBy("d").limit(n).collect()]
+
+
 def lookahead(panel: DataFrame, wanted: list[FeatureSpec], spots: list[str], atol: float = 1e-10, rtol: float = 1e-5) -> DataFrame:
     """(feature_id, spot, n, n_bad): values of each spot date recomputed from rows up to it, compared with the full run.
 
-    ``spots`` are ISO dates; each recompute prunes at the scan.
+    ``spots`` are ISO dates. All are recomputed in one run: of each asset and
+    spot, the spot's row and the rows before it that the features need are a
+    series of their own.
     """
     ids = [s.id for s in wanted]
     full = to_long(compute(panel, wanted), ids, drop_null=False)
-    parts = []
-    for s in spots:
-        cut = to_long(compute(panel.filter(F.col("d") <= F.lit(s).cast("date")), wanted), ids, drop_null=False).filter(F.col("d") == F.lit(s).cast("date"))
-        parts.append(cut)
-    again = parts[0]
-    for p in parts[1:]:
-        again = again.unionByName(p)
-    both = full.join(again.withColumnRenamed("value", "again"), ["asset", "d", "feature_id"])
+    rows = max(s.warmup_rows for s in wanted) + 1
+    at = F.explode(F.array(*[F.lit(s).cast("date") for s in spots])).alias("_spot")
+    cut = panel.select("*", at).filter(F.col("d") <= F.col("_spot"))
+    back = F.row_number().over(Window.partitionBy("asset", "_spot").orderBy(F.col("d").desc()))
+    cut = cut.withColumn("_k", back).filter(F.col("_k") <= rows).withColumn("asset", F.concat(F.col("_spot").cast("string"), F.lit("|"), F.col("asset"))).drop("_k", "_spot")
+    again = to_long(compute(cut, wanted), ids, drop_null=False).filter(F.substring("asset", 1, 10) == F.col("d").cast("string"))
+    again = again.select(F.expr("substring(asset, 12)").alias("asset"), "d", "feature_id", F.col("value").alias("again"))
+    both = full.filter(F.col("d").isin([F.lit(s).cast("date") for s in spots])).join(again, ["asset", "d", "feature_id"])
     a, b = F.col("value"), F.col("again")
     close = (a.isNull() & b.isNull()) | F.coalesce(F.abs(a - b) <= atol + rtol * F.abs(b), F.lit(False))
     return both.groupBy("feature_id", F.date_format("d", "yyyy-MM-dd").alias("spot")).agg(F.count("*").alias("n"), F.count(F.when(~close, 1)).alias("n_bad"))

@@ -35,6 +35,20 @@ def coverage(planned: DataFrame, done: DataFrame, keys: list[str], examples: int
     return planned.count(), gaps.count(), [tuple(r) for r in gaps.orderBy(*keys).limit(examples).collect()]
 
 
+def spans(done: DataFrame) -> DataFrame:
+    """(asset, day): every day of the table, from its first to its last, for every asset of (asset, day)."""
+    first, last = done.agg(F.min("day"), F.max("day")).first()
+    days = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    return done.select("asset").distinct().select("asset", F.explode(days).alias("day"))
+
+
+def gate(planned: DataFrame, done: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(by, planned, missing, complete): how many cells of each ``by`` are planned and missing, and whether none is."""
+    have = done.select(*keys).distinct().withColumn("_have", F.lit(1))
+    both = planned.join(have, keys, "left").groupBy(by)
+    return both.agg(F.count("*").alias("planned"), F.count(F.when(F.col("_have").isNull(), 1)).alias("missing")).withColumn("complete", F.col("missing") == 0)
+
+
 def extra_days(params: dict) -> int:
     """Days of history by parameter name: window_d, lookback_d, window ("7d", "24h"), window_min, in this order."""
     for name in ("window_d", "lookback_d"):

@@ -28,13 +28,24 @@ class Research:
 
 
 def construct(bars: DataFrame, store: FeatureStore, d0: str, d1: str, wanted: list[FeatureSpec] | None = None) -> None:
-    """Features of the days d0 to d1 into the store, one job for all of them."""
+    """Features of the days d0 to d1 into the store, but for those that are there: one computation for all of them, one write a family.
+
+    Only features of which a day of an asset is still missing are computed, and
+    nothing at all where none is.
+    """
     wanted = wanted or specs()
-    by_family: dict[str, list[FeatureSpec]] = {}
+    cells = bars.select("asset", F.col("d").alias("day")).filter(F.col("day").between(F.lit(d0).cast("date"), F.lit(d1).cast("date"))).distinct()
+    ids = F.explode(F.array(*[F.struct(F.lit(s.id).alias("feature_id"), F.lit(s.version).alias("version")) for s in wanted])).alias("f")
+    open_ids = {r[0] for r in store.missing(cells.select("asset", "day", ids).select("f.feature_id", "f.version", "asset", "day")).select("feature_id").distinct().collect()}
+    wanted = [s for s in wanted if s.id in open_ids]
+    if not wanted:
+        return
+    rows = materialize(compute_range(bars, wanted, d0, d1), "features")
+    by_family: dict[str, list[str]] = {}
     for s in wanted:
-        by_family.setdefault(s.family, []).append(s)
+        by_family.setdefault(s.family, []).append(s.id)
     for family, members in by_family.items():
-        store.write(compute_range(bars, members, d0, d1), family)
+        store.write(rows.filter(F.col("feature_id").isin(members)), family)
 
 
 def controls_for(feature: str) -> list[str]:
@@ -97,14 +108,19 @@ def ic_report(r: Research, assets: list[str]) -> str:
 
 
 def quality_report(bars: DataFrame, feature: str, reference: str) -> str:
-    """Checks of one feature as markdown, with an overall mark."""
+    """The four checks of one feature as markdown, with an overall mark."""
     spec = REGISTRY[feature]
     values = to_long(compute(bars, [spec]), [feature], drop_null=False)
     one = values.filter(F.col("asset") == reference)
     d = qa.distribution(one).first()
     c = qa.coverage(values, {feature: qa.qa_warmup(spec)}).agg(F.min("passed"), F.count("*")).first()
     e = qa.explosion(one).first()
-    rows = [("distribution", bool(d and d.passed), f"n {d.n if d else 0}"), ("coverage", bool(c[0]), f"{c[1]} assets"), ("explosion", bool(e is None or e.passed), f"ratio {e.ratio if e else None}")]
+    u = qa.stationarity(one).first()
+    bad = qa.lookahead(bars, [spec], qa.spots(bars)).agg(F.sum("n_bad")).first()[0]
+    rows = [
+        ("distribution", bool(d and d.passed and u and u.stationary), f"n {d.n if d else 0}, unit root p {u.p if u else None}"), ("coverage", bool(c[0]), f"{c[1]} assets"),
+        ("lookahead", not bad, f"{bad or 0} values differ"), ("explosion", bool(e is None or e.passed), f"ratio {e.ratio if e else None}"),
+    ]
     overall = all(ok for _, ok, _ in rows)
     mark = lambda ok: "✅ PASS" if ok else "❌ FAIL"
     table = "\n".join(f"| {n} | {mark(ok)} | {m} |" for n, ok, m in rows)
@@ -127,3 +143,30 @@ def research_note(r: Research, horizon: int = 1) -> str:
     best = [x.feature_id for x in ranking if x.exploitable]
     lines += ["", "## Conclusions", "", f"- exploitable: {', '.join(best) or 'none'}", ""]
     return "\n".join(lines)
+
+
+def yesterday() -> str:
+    import datetime as dt
+
+    return (dt.datetime.now(dt.timezone.utc).date() - dt.timedelta(days=1)).isoformat()
+
+
+def daily_flow(bars: DataFrame, store: FeatureStore, raw_root: str, day: str | None = None, wanted: list[FeatureSpec] | None = None) -> None:
+    """Ingestion and features of one day, yesterday by default: raw bars of the registered schema are stored, then the features of that day."""
+    from ..sources.bars import asset_key, bar_day
+    from ..sources.store import load_raw, write_raw
+
+    day = day or yesterday()
+    write_raw(bars, raw_root)
+    panel_rows = load_raw(bars.sparkSession, raw_root)
+    panel_rows = panel_rows.select(asset_key(F.col("exchange"), F.col("symbol")).alias("asset"), bar_day(F.col("ts_open")).alias("d"), "open", "high", "low", "close", "volume", "quote_vol", "n_trades", "taker_buy_vol")
+    construct(panel_rows, store, day, day, wanted)
+
+
+def full_flow(bars: DataFrame, store: FeatureStore, d0: str, d1: str, reference: str, wanted: list[FeatureSpec] | None = None, horizon: int = 1) -> dict[str, str]:
+    """Features, quality, coefficients and synthesis of a panel (asset, d, ...): the reports by name."""
+    wanted = wanted or specs()
+    construct(bars, store, d0, d1, wanted)
+    assets = sorted(r[0] for r in bars.select("asset").distinct().collect())
+    found = research(bars, [s.id for s in wanted], None, reference, horizon)
+    return {"ic.json": ic_report(found, assets), "note.md": research_note(found, horizon)} | {f"qa_{s.id}.md": quality_report(bars, s.id, reference) for s in wanted}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
-from ..functions.features import DEFAULT_COMPOSITE_WINDOWS, PRICE_FEATURES, REGISTRY, compute, ewm_composite, specs, to_long
+from ..functions.features import DEFAULT_COMPOSITE_WINDOWS, PRICE_FEATURES, REGISTRY, FeatureSpec, compute, ewm_composite, specs, to_long
 from ..operators import ic, panel, portfolio, qa, ridge, synthesis
 from ..plans import incremental, pipeline
 from ..sources import store
@@ -23,8 +23,6 @@ HORIZONS = (1, 3, 5, 7)
 #: Features whose coefficients are studied, and those of the smaller ridge model (all thirteen are hardly ever there in one row).
 STUDIED = list(PRICE_FEATURES)
 MODEL = ["mom_20d", "rv_30d", "reversal_5d", "taker_ratio_20d", "trades_zscore_20d"]
-#: The first asset by name is the reference of regimes and checks.
-SPOTS = ["2024-03-01", "2024-06-15", "2024-09-20"]
 
 
 def _day(df: DataFrame) -> DataFrame:
@@ -36,6 +34,7 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def _reference(bars: DataFrame) -> str | None:
+    """The first asset by name is the reference of regimes and checks."""
     return bars.agg(F.min("asset")).first()[0]
 
 
@@ -271,7 +270,18 @@ def qa_explosion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qa_lookahead(spark: SparkSession, d: str) -> DataFrame:
-    return qa.lookahead(daily_panel(spark, d), specs(STUDIED), SPOTS)
+    bars = daily_panel(spark, d)
+    return qa.lookahead(bars, specs(STUDIED), qa.spots(bars))
+
+
+#: A feature that looks at the next row, to see the check find it.
+PEEKING = FeatureSpec("peek", "returns", ("close",), lambda p: F.lead("close").over(k.series()), warmup=lambda p: 1)
+
+
+def qa_lookahead_planted(spark: SparkSession, d: str) -> DataFrame:
+    """What the check says of a feature that does look ahead."""
+    bars = daily_panel(spark, d)
+    return qa.lookahead(bars, [PEEKING, REGISTRY["ret_1d"]], qa.spots(bars))
 
 
 def qa_adf(spark: SparkSession, d: str) -> DataFrame:
@@ -308,6 +318,13 @@ def portfolio_demeaned(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_day(_book(spark, d, True).select("d", "ret")), "ret")
 
 
+def portfolio_mean_binary(spark: SparkSession, d: str) -> DataFrame:
+    """Equal weights of the assets' binary strategies, and of holding them all."""
+    t = _traded(spark, d)
+    both = panel.equal_weight(t, "strat").withColumnRenamed("value", "ret").join(panel.equal_weight(t, "fwd").withColumnRenamed("value", "hold"), "d")
+    return _rounded(_day(both), "ret", "hold")
+
+
 def equity_curve(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_day(portfolio.equity(_book(spark, d, True), "ret").select("d", "equity")), "equity")
 
@@ -349,12 +366,11 @@ def skew_kurt(spark: SparkSession, d: str) -> DataFrame:
 # --- model ------------------------------------------------------------------
 
 
-def _ridge(spark: SparkSession, d: str):
+def _ridge(spark: SparkSession, d: str, model: list[str] = MODEL):
     bars = portfolio.returns(daily_panel(spark, d))
-    wide = compute(bars, specs(MODEL), keep=("fwd",))
-    data = ridge.matrix(wide, MODEL, "fwd")
+    data = ridge.matrix(compute(bars, specs(model), keep=("fwd",)), model, "fwd")
     span = bars.agg(F.min("d").cast("string"), F.max("d").cast("string")).first()
-    return ridge.walk_forward(data, MODEL, "fwd", ridge.expanding_folds(*span))
+    return ridge.walk_forward(data, model, "fwd", ridge.expanding_folds(*span))
 
 
 def ridge_oos_ic(spark: SparkSession, d: str) -> DataFrame:
@@ -366,6 +382,16 @@ def ridge_coefs(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(spark.createDataFrame(rows, "fold string, alpha double, feature_id string, coef double"), "coef")
 
 
+def ridge_all_ic(spark: SparkSession, d: str) -> DataFrame:
+    """The model of all thirteen features; rows that have them all are few."""
+    return _rounded(ridge.oos_ic(_ridge(spark, d, list(PRICE_FEATURES))[0], "fwd"), "ic_mean", "icir", "positive_share")
+
+
+def ridge_pooled_ic(spark: SparkSession, d: str) -> DataFrame:
+    """One out-of-sample coefficient a fold, over all its rows."""
+    return _rounded(ic.pooled(_ridge(spark, d)[0], ["fold"], "prediction", "fwd"), "ic")
+
+
 # --- store and plans --------------------------------------------------------
 
 
@@ -376,8 +402,7 @@ def store_load_slice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store_sql_agg(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "features").createOrReplaceTempView("features")
-    return spark.sql("SELECT feature_id, asset, count(*) AS n, round(avg(CASE WHEN NOT isnan(value) THEN value END), 6) AS mean FROM features WHERE version = :v GROUP BY feature_id, asset", args={"v": "v1"})
+    return store.sql_over(table(spark, d, "features"), "SELECT feature_id, asset, count(*) AS n, round(avg(CASE WHEN NOT isnan(value) THEN value END), 6) AS mean FROM features WHERE version = :v GROUP BY feature_id, asset", v="v1")
 
 
 def _done_days(spark: SparkSession, d: str) -> DataFrame:
@@ -385,26 +410,23 @@ def _done_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plan_missing(spark: SparkSession, d: str) -> DataFrame:
-    """Asset-days of a quarter without a bar, for the assets that have any."""
+    """Days of the table without a bar, of every asset."""
     done = _done_days(spark, d)
-    cells = done.select("asset").distinct().select("asset", F.explode(F.expr("sequence(DATE'2024-04-01', DATE'2024-06-30')")).alias("day"))
-    return incremental.missing(cells, done, ["asset", "day"]).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return incremental.missing(incremental.spans(done), done, ["asset", "day"]).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
     """Planned and missing days per asset, and whether the gate opens."""
     done = _done_days(spark, d)
-    cells = done.select("asset").distinct().select("asset", F.explode(F.expr("sequence(DATE'2024-04-01', DATE'2024-06-30')")).alias("day"))
-    both = cells.join(done.withColumn("have", F.lit(1)), ["asset", "day"], "left")
-    return both.groupBy("asset").agg(F.count("*").alias("planned"), F.count(F.when(F.col("have").isNull(), 1)).alias("missing")).withColumn("complete", F.col("missing") == 0)
+    return incremental.gate(incremental.spans(done), done, ["asset", "day"], "asset")
 
 
 _NAMED = [
     bars_daily, bars_dedupe, bars_log_return, bars_hourly_events, bars_klines, *[_feature(f) for f in REGISTRY], feat_composite_ewm, feat_long_store, feat_range,
     cs_zscore, cs_demean_weights, gross_weights, fwd_ret, dollar_neutral, ic_daily, ic_summary, ic_rolling63, ic_monthly, ic_hist, ic_ortho, ic_raw_ortho, ic_pooled, ortho_residuals, regime_labels, ic_by_regime, ic_regime_bars,
-    corr_matrix, collinearity, rank_features, composite_weights, leaderboard, qa_distribution, qa_coverage, qa_explosion, qa_lookahead, qa_adf,
-    ls_binary, ls_binary_inverted, portfolio_prop, portfolio_demeaned, equity_curve, drawdown, portfolio_summary, sharpe_summary, rolling_sharpe, sharpe_by_window, descriptives, skew_kurt,
-    ridge_oos_ic, ridge_coefs, store_load_slice, store_sql_agg, plan_missing, coverage_gate,
+    corr_matrix, collinearity, rank_features, composite_weights, leaderboard, qa_distribution, qa_coverage, qa_explosion, qa_lookahead, qa_lookahead_planted, qa_adf,
+    ls_binary, ls_binary_inverted, portfolio_prop, portfolio_demeaned, portfolio_mean_binary, equity_curve, drawdown, portfolio_summary, sharpe_summary, rolling_sharpe, sharpe_by_window, descriptives, skew_kurt,
+    ridge_oos_ic, ridge_coefs, ridge_all_ic, ridge_pooled_ic, store_load_slice, store_sql_agg, plan_missing, coverage_gate,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _NAMED}
 

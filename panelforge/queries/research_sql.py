@@ -6,7 +6,7 @@ from .problems import _DAY, _NN, _US, BARS_CTE
 from ..functions.features import REGISTRY
 from ..operators.qa import qa_warmup
 from ..plans.pipeline import horizons_of
-from .research import HORIZONS, SPOTS, STUDIED
+from .research import HORIZONS, STUDIED
 
 _W = "PARTITION BY asset ORDER BY d"
 
@@ -112,7 +112,9 @@ def _book(centred: bool) -> str:
 
 _SHARPE = "avg({0}) / nullif(stddev_samp({0}), 0) * sqrt({1})"
 _SLASH = "coalesce(abs(icir), 0)"
-_QUARTER = "(SELECT DISTINCT asset FROM p) a CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2024-04-01', DATE '2024-06-30', INTERVAL 1 DAY)) AS DATE) AS day) g"
+_DAYS = "(SELECT DISTINCT asset FROM p) a CROSS JOIN (SELECT CAST(unnest(generate_series((SELECT min(d) FROM p), (SELECT max(d) FROM p), INTERVAL 1 DAY)) AS DATE) AS day) g"
+_SPOTS = """di AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM p)),
+  sp AS (SELECT d FROM di WHERE n <= 10 OR floor((i * 10 + 5) / n) <> floor(((i - 1) * 10 + 5) / n) ORDER BY d LIMIT 10)"""
 
 SQL: dict[str, str] = {
     "bars_daily": f"{P} SELECT * REPLACE (strftime(d, '%Y-%m-%d') AS d) FROM p",
@@ -174,11 +176,21 @@ SQL: dict[str, str] = {
   c AS (SELECT feature_id, asset, count(*) FILTER (late) AS n, count(*) FILTER (late AND value IS NULL) / nullif(count(*) FILTER (late), 0)::DOUBLE AS x FROM i GROUP BY 1, 2)
   SELECT feature_id, asset, n, round(x, 6) AS missing_share, coalesce(x <= 0.2, false) AS passed FROM c""",
     "qa_explosion": f"{_SALL},\n  {_EXPL} SELECT feature_id, asset, n, round(ratio, 4) AS ratio, passed FROM exp",
-    "qa_lookahead": f"{_SALL} SELECT feature_id, strftime(d, '%Y-%m-%d') AS spot, count(*) AS n, CAST(0 AS BIGINT) AS n_bad FROM s WHERE d IN ({', '.join(f'DATE {chr(39)}{x}{chr(39)}' for x in SPOTS)}) GROUP BY 1, 2",
+    "qa_lookahead": f"{_SALL}, {_SPOTS} SELECT feature_id, strftime(s.d, '%Y-%m-%d') AS spot, count(*) AS n, CAST(0 AS BIGINT) AS n_bad FROM s JOIN sp ON s.d = sp.d GROUP BY 1, 2",
+    "qa_lookahead_planted": f"""{P}, {_SPOTS}, x AS (SELECT asset, d, lead(close) OVER ({_W}) AS v FROM p)
+  SELECT 'peek' AS feature_id, strftime(x.d, '%Y-%m-%d') AS spot, count(*) AS n, count(v) AS n_bad FROM x JOIN sp ON x.d = sp.d GROUP BY 2 UNION ALL SELECT 'ret_1d', strftime(x.d, '%Y-%m-%d'), count(*), 0 FROM x JOIN sp ON x.d = sp.d GROUP BY 2""",
+    "feat_composite_ewm": f"""{F}, o AS (SELECT asset, d, r1, row_number() OVER ({_W}) AS i FROM f),
+  e AS (SELECT a.asset, a.d, w, any_value(a.r1) AS r, count(*) AS n, sum(pow(1 - 2.0 / (w + 1), a.i - b.i)) AS s1, sum(pow(1 - 2.0 / (w + 1), 2 * (a.i - b.i))) AS s2, sum(pow(1 - 2.0 / (w + 1), a.i - b.i) * b.r1) / sum(pow(1 - 2.0 / (w + 1), a.i - b.i)) AS m
+    FROM o a JOIN o b ON a.asset = b.asset AND b.i <= a.i AND b.r1 IS NOT NULL CROSS JOIN (SELECT unnest([15, 30, 60, 80, 100]) AS w) GROUP BY 1, 2, 3),
+  v AS (SELECT e.asset, e.d, e.w, any_value(r) AS r, any_value(n) AS n, any_value(m) AS m, sum(pow(1 - 2.0 / (e.w + 1), a.i - b.i) * (b.r1 - m) * (b.r1 - m)) / any_value(s1) * any_value(s1 * s1 / nullif(s1 * s1 - s2, 0)) AS var
+    FROM e JOIN o a ON a.asset = e.asset AND a.d = e.d JOIN o b ON b.asset = a.asset AND b.i <= a.i AND b.r1 IS NOT NULL GROUP BY 1, 2, 3),
+  z AS (SELECT asset, d, CASE WHEN count(CASE WHEN n >= w THEN (r - m) / nullif(sqrt(var), 0) END) = 5 THEN avg((r - m) / nullif(sqrt(var), 0)) END AS value FROM v GROUP BY 1, 2)
+  SELECT o.asset, strftime(o.d, '%Y-%m-%d') AS d, round(z.value, 6) AS value FROM o LEFT JOIN z ON o.asset = z.asset AND o.d = z.d""",
     "ls_binary": f"{_T} SELECT asset, {_D}, pos, round(strat, 6) AS strat FROM tr",
     "ls_binary_inverted": f"{_T} SELECT asset, {_D}, -pos AS pos, round(-strat, 6) AS strat FROM tr",
     "portfolio_prop": f"{_book(False)} SELECT {_D}, round(ret, 6) AS ret FROM pf",
     "portfolio_demeaned": f"{_book(True)} SELECT {_D}, round(ret, 6) AS ret FROM pf",
+    "portfolio_mean_binary": f"{_T} SELECT {_D}, round(avg(strat), 6) AS ret, round(avg(fwd), 6) AS hold FROM tr GROUP BY tr.d",
     "equity_curve": f"{_book(True)} SELECT {_D}, round(equity, 6) AS equity FROM dd",
     "drawdown": f"{_book(True)} SELECT {_D}, round(drawdown, 6) AS drawdown FROM dd",
     "portfolio_summary": f"{_book(True)} SELECT 'portfolio' AS asset, round({_SHARPE.format('ret', 252)}, 6) AS sharpe, round(min(drawdown), 6) AS max_drawdown, round(count(*) FILTER (ret > 0) / nullif(count(ret), 0)::DOUBLE, 6) AS win_rate, round(max_by(equity, d) - 1, 6) AS total_return, count(ret) AS n FROM dd",
@@ -191,6 +203,6 @@ SQL: dict[str, str] = {
     "skew_kurt": f"{F} SELECT asset, round(skewness(ret_1d), 4) AS skew, round(kurtosis(ret_1d), 4) AS kurtosis FROM f GROUP BY 1",
     "store_load_slice": f"SELECT ts, {_NN('value')} AS value FROM features WHERE version = 'v1' AND (feature_id, asset) = (SELECT (feature_id, asset) FROM features WHERE version = 'v1' ORDER BY feature_id, asset LIMIT 1) AND ts >= epoch_us(TIMESTAMP '2024-01-01') AND ts < epoch_us(TIMESTAMP '2024-12-31')",
     "store_sql_agg": f"SELECT feature_id, asset, count(*) AS n, round(avg({_NN('value')}), 6) AS mean FROM features WHERE version = 'v1' GROUP BY 1, 2",
-    "plan_missing": f"{P} SELECT a.asset, strftime(g.day, '%Y-%m-%d') AS day FROM {_QUARTER} WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.asset = a.asset AND p.d = g.day)",
-    "coverage_gate": f"{P}, c AS (SELECT a.asset, count(*) AS planned, count(*) FILTER (p.asset IS NULL) AS missing FROM {_QUARTER} LEFT JOIN p ON p.asset = a.asset AND p.d = g.day GROUP BY 1) SELECT *, missing = 0 AS complete FROM c",
+    "plan_missing": f"{P} SELECT a.asset, strftime(g.day, '%Y-%m-%d') AS day FROM {_DAYS} WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.asset = a.asset AND p.d = g.day)",
+    "coverage_gate": f"{P}, c AS (SELECT a.asset, count(*) AS planned, count(*) FILTER (p.asset IS NULL) AS missing FROM {_DAYS} LEFT JOIN p ON p.asset = a.asset AND p.d = g.day GROUP BY 1) SELECT *, missing = 0 AS complete FROM c",
 }

@@ -38,6 +38,11 @@ def symbol_key(s: Column) -> Column:
     return F.upper(F.trim(s))
 
 
+def asset_key(exchange: Column, symbol: Column) -> Column:
+    """exchange:symbol; a missing part is empty, so it keeps its side."""
+    return F.concat(F.coalesce(exchange, F.lit("")), F.lit(":"), F.coalesce(symbol, F.lit("")))
+
+
 def keyed(bars: DataFrame, *keep: str, undated: bool = False) -> DataFrame:
     """(exchange, symbol, day) and the columns ``keep``, doubles with NaN as null; rows without a time have no day and fall out unless ``undated``."""
     doubles = {f.name for f in bars.schema if f.dataType.typeName() == "double"}
@@ -84,4 +89,4 @@ def daily_panel(spark: SparkSession, sf_dir: str, exchange: str | None = None) -
     bars = table(spark, sf_dir, "ohlcv_1d")
     if exchange is not None:
         bars = bars.filter(F.col("exchange") == exchange)
-    return latest_per_day(bars, *values).select(F.concat_ws(":", "exchange", "symbol").alias("asset"), F.col("day").alias("d"), *values)
+    return latest_per_day(bars, *values).select(asset_key(F.col("exchange"), F.col("symbol")).alias("asset"), F.col("day").alias("d"), *values)

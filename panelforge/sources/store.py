@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FEATURE_ROW, OHLCV_1D, validate
+from ..session import materialize
 
 #: Time columns in order of preference.
 TIME_COLUMNS = ("ts_utc", "ts", "timestamp", "ts_open")
@@ -25,19 +26,33 @@ def raw_partitions(bars: DataFrame, data_type: str = "ohlcv_1d") -> DataFrame:
     return bars.withColumns({"data_type": F.lit(data_type), "year": F.date_format(at, "yyyy"), "month": F.date_format(at, "MM"), "day": F.date_format(at, "dd")})
 
 
+_RAW_KEYS = ["exchange", "data_type", "symbol", "year", "month", "day"]
+
+
+def _manifest_of(root: str) -> str:
+    return f"{root.rstrip('/')}.manifest"
+
+
 def write_raw(bars: DataFrame, root: str, data_type: str = "ohlcv_1d") -> None:
-    """Append-only raw layout exchange/data_type/symbol/year/month/day; a partition that is there already stays as it is.
+    """Append-only raw layout exchange/data_type/symbol/year/month/day; a partition that is complete stays as it is.
 
-    The new partitions are found by an anti-join on the days present, so a
-    second write of the same bars changes no byte.
+    Complete is what the manifest beside ``root`` lists, and it lists a
+    partition only after its data are written: a second write of the same bars
+    changes no byte, and a write that was cut short is written anew, over
+    whatever it left behind.
     """
     spark = bars.sparkSession
     bars = raw_partitions(validate(bars, data_type), data_type)
-    keys = ["exchange", "data_type", "symbol", "year", "month", "day"]
-    if _exists(spark, root):
-        there = spark.read.option("basePath", root).schema(bars.schema).parquet(root).select(*keys).distinct()
-        bars = bars.join(there, keys, "left_anti")
-    bars.repartition("exchange", "symbol", "year").write.mode("append").option("compression", "zstd").partitionBy(*keys).parquet(root)
+    if _exists(spark, _manifest_of(root)):
+        bars = bars.join(spark.read.schema(", ".join(f"{k} string" for k in _RAW_KEYS)).parquet(_manifest_of(root)).distinct(), _RAW_KEYS, "left_anti")
+    bars = materialize(bars, "raw-bars")  # the same rows for the data and for the manifest
+    _write_raw_data(bars, root)
+    bars.select(*_RAW_KEYS).distinct().coalesce(1).write.mode("append").parquet(_manifest_of(root))
+
+
+def _write_raw_data(bars: DataFrame, root: str) -> None:
+    out = bars.repartition("exchange", "symbol", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.option("compression", "zstd").partitionBy(*_RAW_KEYS).parquet(root)
 
 
 def load_raw(spark: SparkSession, root: str, exchange: str | None = None, symbol: str | None = None, d0: str | None = None, d1: str | None = None) -> DataFrame | None:
@@ -81,10 +96,11 @@ class FeatureStore:
     def write(self, features: DataFrame, family: str = "misc", overwrite: bool = False) -> None:
         """Commit rows (ts, feature_id, version, asset, value); null values are not stored.
 
-        Days that the manifest has are left alone unless ``overwrite``; with it
-        the affected years are rewritten as a whole by dynamic partition
-        overwrite, other rows of theirs kept. Data first, manifest after, so a
-        crash in between repeats the work instead of losing it.
+        Days that the manifest has are left alone unless ``overwrite``. The
+        years the rows fall in are rewritten as a whole by dynamic partition
+        overwrite, with those rows of theirs that are done kept. Data first,
+        manifest after: a crash in between repeats the work, over what it left
+        behind, and neither loses nor doubles a row.
         """
         rows = features.select(*FEATURE_ROW.names).filter(F.col("value").isNotNull())
         rows = rows.withColumn("day", F.to_date(F.timestamp_micros("ts")))
@@ -92,19 +108,22 @@ class FeatureStore:
         done = self._done()
         if not overwrite:
             rows = rows.join(done, keys, "left_anti")
-        fresh = rows.withColumns({"feature_family": F.lit(family), "year": F.year("day")})
-        if overwrite and _exists(self.spark, self.data):
+        fresh = materialize(rows.withColumns({"feature_family": F.lit(family), "year": F.year("day")}), "feature-days")
+        out = fresh
+        if _exists(self.spark, self.data):
             touched = fresh.select("feature_id", "version", "asset", "year").distinct()
             old = self.read().filter(F.col("feature_family") == family).withColumn("day", F.to_date(F.timestamp_micros("ts")))
-            kept = old.join(touched, ["feature_id", "version", "asset", "year"], "left_semi").join(fresh.select(*keys).distinct(), keys, "left_anti")
-            fresh = fresh.unionByName(kept.select(fresh.columns))
-        from ..session import materialize
+            kept = old.join(touched, ["feature_id", "version", "asset", "year"], "left_semi").join(done, keys, "left_semi").join(fresh.select(*keys).distinct(), keys, "left_anti")
+            out = materialize(fresh.unionByName(kept.select(fresh.columns)), "feature-rows")  # a rewrite must not read what it replaces
+        self._write_data(out)
+        self._commit(fresh.select(*keys).distinct().join(done, keys, "left_anti"))
 
-        fresh = materialize(fresh, "feature-rows")  # a rewrite must not read what it replaces
-        out = fresh.drop("day").repartition("feature_id", "asset", "year").sortWithinPartitions("feature_id", "asset", "ts")
-        how = "overwrite" if overwrite else "append"
-        out.write.mode(how).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("feature_family", "feature_id", "version", "asset", "year").parquet(self.data)
-        fresh.select(*keys).distinct().join(done, keys, "left_anti").coalesce(1).write.mode("append").parquet(self.manifest)
+    def _write_data(self, rows: DataFrame) -> None:
+        out = rows.drop("day").repartition("feature_id", "asset", "year").sortWithinPartitions("feature_id", "asset", "ts")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("feature_family", "feature_id", "version", "asset", "year").parquet(self.data)
+
+    def _commit(self, days: DataFrame) -> None:
+        days.coalesce(1).write.mode("append").parquet(self.manifest)
 
     def _done(self) -> DataFrame:
         if not _exists(self.spark, self.manifest):
@@ -121,8 +140,7 @@ class FeatureStore:
 
     def query(self, sql: str, **args) -> DataFrame:
         """Any SQL over the view ``features``, with bound parameters."""
-        self.view()
-        return self.spark.sql(sql, args=args or None)
+        return sql_over(self.read(), sql, **args)
 
     def load(self, feature_id: str, asset: str, version: str = "v1", d_from: str | None = None, d_to: str | None = None) -> DataFrame:
         """(ts, value) in time order, both dates included, ts as a timestamp."""
@@ -140,8 +158,16 @@ class FeatureStore:
         return plan.join(self._done(), ["feature_id", "version", "asset", "day"], "left_anti")
 
 
+def sql_over(features: DataFrame, sql: str, **args) -> DataFrame:
+    """Any SQL over the view ``features``, with bound parameters."""
+    features.createOrReplaceTempView("features")
+    return features.sparkSession.sql(sql, args=args or None)
+
+
 def load_slice(features: DataFrame, feature_id: str, asset: str, version: str = "v1", d_from: str | None = None, d_to: str | None = None) -> DataFrame:
     df = features.filter((F.col("feature_id") == feature_id) & (F.col("asset") == asset) & (F.col("version") == version))
+    if "year" in features.columns:  # prunes at the scan, which ts alone does not
+        df = df.filter(F.col("year").between(int(d_from[:4]) if d_from else -9999, int(d_to[:4]) if d_to else 9999))
     if d_from is not None:
         df = df.filter(F.col("ts") >= F.unix_micros(F.lit(d_from).cast("timestamp")))
     if d_to is not None:
@@ -206,5 +232,3 @@ def load_qa(spark: SparkSession, path: str, mark: str = "Overall: ✅ PASS") ->
     """(file, passed) of the quality reports in a folder."""
     df = spark.read.option("wholetext", True).text(path)
     return df.select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("file"), F.contains("value", F.lit(mark)).alias("passed"))
-
-

@@ -94,3 +94,47 @@ def test_times_and_last_revisions(spark):
     assert {str(r[0]) for r in df.select(bar_day(df.ts_open)).collect()} == {"2024-03-01", "2024-03-02", "None"}
     got = {str(r.day): r.close for r in latest_per_day(df, "close").collect()}
     assert got == {"2024-03-01": None, "2024-03-02": 5.0}
+
+
+def test_a_crash_between_data_and_manifest_neither_doubles_nor_loses(spark, tmp_path, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("killed")
+
+    root, st = str(tmp_path / "raw"), s.FeatureStore(spark, str(tmp_path / "store"))
+    bars = spark.createDataFrame([BAR, (*BAR[:1], *BAR[1:-1], "ETHUSDT")], OHLCV_1D)
+    s.write_raw(bars.limit(1), root)
+    with monkeypatch.context() as m:
+        write = s._write_raw_data
+        m.setattr(s, "_write_raw_data", lambda *a: (write(*a), fail()))
+        with pytest.raises(RuntimeError):
+            s.write_raw(bars, root)
+    assert s.load_raw(spark, root).count() == 2  # the data are there, but not known to be
+    s.write_raw(bars, root)
+    s.write_raw(bars, root)
+    s.write_raw(bars, root)
+    assert s.load_raw(spark, root).count() == 2
+
+    with monkeypatch.context() as m:
+        m.setattr(s.FeatureStore, "_commit", fail)
+        with pytest.raises(RuntimeError):
+            st.write(features(spark, ("2024-01-01", 1.0), ("2024-01-02", 2.0)), "mom")
+    st.write(features(spark, ("2024-01-01", 1.0), ("2024-01-02", 2.0), ("2024-01-03", 3.0)), "mom")
+    assert st.read().count() == 3
+    with monkeypatch.context() as m:
+        m.setattr(s.FeatureStore, "_commit", fail)
+        with pytest.raises(RuntimeError):
+            st.write(features(spark, ("2024-01-04", 4.0)), "mom")
+    st.write(features(spark, ("2024-01-04", 4.0)), "mom")
+    assert [r.value for r in st.load("f", "007").collect()] == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_the_shared_folder_is_cleaned(spark):
+    import os
+
+    from panelforge import session
+
+    session.materialize(spark.range(3), "x").count()
+    path = f"{session.shared_dir(spark)}/panelforge".removeprefix("file:")
+    assert os.listdir(path)
+    session.clean(spark)
+    assert not os.path.exists(path)
