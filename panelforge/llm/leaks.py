@@ -149,13 +149,15 @@ def align(passage: Shapes, weight: np.ndarray, page: Shapes, alike: dict) -> np.
     gain = np.where(s > 0, weight[:, None] * s, lost[:, None])
     h = np.zeros((n + 1, m + 1))
     ramp = np.arange(m + 1) * EXTEND
-    for i in range(n):
-        best = np.maximum(0.0, h[i] + lost[i])
-        np.maximum(best[1:], h[i, :-1] + gain[i], out=best[1:])
+    opened = ramp[1:] + OPEN
+    reach, cell = np.empty(m + 1), np.empty(m)
+    for above, best, row, loss in zip(h[:-1], h[1:], gain, lost.tolist(), strict=True):
+        np.maximum(np.add(above, loss, out=best), 0.0, out=best)
+        rest = best[1:]
+        np.maximum(rest, np.add(above[:-1], row, out=cell), out=rest)
         # a gap on the page (an inserted line) costs OPEN once and EXTEND a word
-        reach = np.maximum.accumulate(best - ramp)
-        best[1:] = np.maximum(best[1:], reach[:-1] + ramp[1:] + OPEN)
-        h[i + 1] = best
+        np.maximum.accumulate(np.subtract(best, ramp, out=reach), out=reach)
+        np.maximum(rest, np.add(reach[:-1], opened, out=cell), out=rest)
     out = np.full(n, -1)
     i, j = np.unravel_index(np.argmax(h), h.shape)
     while i > 0 and h[i, j] > 0:
@@ -176,6 +178,12 @@ def align(passage: Shapes, weight: np.ndarray, page: Shapes, alike: dict) -> np.
 
 def _distance(a: str, b: str) -> int:
     """Letters to change, lose or add between two words."""
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    if not a or not b:
+        return len(a) + len(b)
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -189,7 +197,8 @@ def _misread(lost: list[str], there: list[str]) -> bool:
     a, b = "".join(lost), "".join(there)
     if len(lost) > 3 or len(there) > 5 or abs(len(a) - len(b)) > max(2, NOISE * len(a)):
         return False
-    return _distance(a, b) <= max(2 if not b or len(a) < 4 else 1, NOISE * len(a))
+    most = max(2 if not b or len(a) < 4 else 1, NOISE * len(a))
+    return max(len(a), len(b)) <= most or _distance(a, b) <= most
 
 
 def held_words(where: np.ndarray, passage: list[str], page: list[str]) -> int:
