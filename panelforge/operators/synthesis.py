@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import exact_ranks_among
+from .pairs import placed, rank_sums
 
 MIN_PAIRS, COLLINEAR, GOOD_ICIR, EXPLOITABLE = 30, 0.70, 0.05, 0.10
 
@@ -32,59 +27,27 @@ def rank_features(summary: DataFrame, regime: DataFrame, horizon: int) -> DataFr
     )
 
 
-_SUMS = "i int, j int, n bigint, ij double, ii double, jj double"
-
-
-def _pair_sums(m: int):
-    """Sums of products of centred ranks of each two features, over the rows of a task that have both."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, m, m))
-        for b in batches:
-            cells = b.column("cells")
-            cells = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
-            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(cells).to_numpy())
-            flat = cells.flatten()
-            f = flat.field("f").to_numpy()
-            ranks = np.zeros((b.num_rows, m, m))
-            have = np.zeros((b.num_rows, m))
-            ranks[row, f] = flat.field("r").flatten().to_numpy().reshape(-1, m)
-            have[row, f] = 1
-            ranks *= have[:, :, None] * have[:, None, :]
-            total += np.stack([have.T @ have, np.einsum("rij,rji->ij", ranks, ranks), np.einsum("rij,rij->ij", ranks, ranks)])
-        i, j = np.triu_indices(m, 1)
-        n, both, own = total
-        cols = [i.astype(np.int32), j.astype(np.int32), n[i, j].astype(np.int64), both[i, j], own[i, j], own[j, i]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in _SUMS.split(", ")])
-
-    return run
-
-
-def correlations_wide(wide: DataFrame, ids: list[str]) -> DataFrame:
-    """(f1, f2, n, rho): pooled Spearman correlation of each two features over all (asset, d) both have.
-
-    Ranks are taken per pair, among the rows that have both features. One sort
-    of a feature's values gives its ranks beside every other feature at once
-    (exact ranks by range partitions, so no feature gathers in a task); a row's
-    ranks then meet by its key, and tasks add up products of centred ranks.
-    """
+def correlations_placed(table: DataFrame, ids: list[str]) -> DataFrame:
+    """``correlations_wide`` of a table that is ``placed`` already."""
     ids = sorted(ids)
     if len(ids) > 63:
         raise ValueError("more than 63 features; study them in parts")
-    have = [F.col(c).isNotNull() & ~F.isnan(c) for c in ids]
-    mask = sum((F.when(h, F.lit(1 << i)).otherwise(0) for i, h in enumerate(have)), F.lit(0).cast("long"))
-    cells = F.filter(F.array(*[F.when(h, F.struct(F.lit(str(i)).alias("g"), F.col(c).cast("double").alias("v"))) for i, (c, h) in enumerate(zip(ids, have, strict=True))]), lambda x: x.isNotNull())
-    long = wide.select(F.xxhash64("asset", "d").alias("id"), mask.alias("mask"), F.inline(cells))
-    ranked = exact_ranks_among(long, "g", "v", "id", "mask", len(ids))
-    centred = F.zip_with(F.zip_with("below", "upto", lambda a, b: a + b), "size", lambda a, n: ((a - n) / 2).cast("double"))
-    rows = ranked.groupBy("id").agg(F.collect_list(F.struct(F.col("g").cast("int").alias("f"), centred.alias("r"))).alias("cells"))
-    sums = rows.select("cells").mapInArrow(_pair_sums(len(ids)), _SUMS)
     names = F.array(*map(F.lit, ids))
-    out = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "ij", "ii", "jj")]).filter(F.col("n") > 0)
+    out = rank_sums(table, ids).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "ij", "ii", "jj")])
     rho = F.when((F.col("ii") > 0) & (F.col("jj") > 0), F.col("ij") / F.sqrt(F.col("ii")) / F.sqrt(F.col("jj")))
     return out.select(F.get(names, F.col("i")).alias("f1"), F.get(names, F.col("j")).alias("f2"), "n", rho.alias("rho"))
 
 
+def correlations_wide(wide: DataFrame, ids: list[str]) -> DataFrame:
+    """(f1, f2, n, rho): pooled Spearman correlation of each two features over all (asset, d) both have.
+
+    Ranks are taken per pair, among the rows that have both features, and are
+    exact (see ``pairs``); no feature gathers in a task. The features are
+    computed once and written.
+    """
+    return correlations_placed(placed(wide.select(*ids)), ids)
+
+
 def correlations(values: DataFrame) -> DataFrame:
     """``correlations_wide`` of (asset, d, feature_id, value); a row a feature comes to the driver."""
     ids = sorted(r[0] for r in values.select("feature_id").distinct().collect())
