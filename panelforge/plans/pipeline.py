@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import HORIZONS, REGISTRY, FeatureSpec, compute, specs, to_long
 from ..operators import ic, panel, qa, synthesis
+from ..operators.pairs import placed
 from ..session import materialize
 from ..sources.store import FeatureStore, report_json
 from .incremental import compute_range
@@ -79,6 +80,13 @@ def coefficients(bars: DataFrame, ids: list[str], kind: str = "raw", horizons: t
     return materialize(ic.daily_wide(wide, of), f"ic-{kind}")
 
 
+def studied(bars: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The features and their forward returns, written once, and the daily coefficients of them."""
+    of = horizons_of(ids)
+    table = placed(signals_wide(bars, ids, "raw", tuple(sorted({h for hs in of.values() for h in hs}))))
+    return table, materialize(ic.daily_wide(table, of), "ic-raw")
+
+
 def research(bars: DataFrame, ids: list[str], horizons: tuple[int, ...] | None, reference: str, horizon: int = 1) -> Research:
     """Coefficients, raw and with the controls taken out, and what follows from the raw ones."""
     daily = coefficients(bars, ids, "raw", horizons)

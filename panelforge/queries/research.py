@@ -239,7 +239,8 @@ def rank_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def composite_weights(spark: SparkSession, d: str) -> DataFrame:
-    return synthesis.composites(ic.summary(_ic(spark, d)), synthesis.collinear(_corr(spark, d)), 5)
+    table, coefficients = pipeline.studied(daily_panel(spark, d), STUDIED)
+    return synthesis.composites(ic.summary(coefficients), synthesis.collinear(synthesis.correlations_placed(table, STUDIED)), 5)
 
 
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:

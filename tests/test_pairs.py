@@ -1,9 +1,13 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import pairs, synthesis
+from panelforge.plans import pipeline
+from panelforge.queries import research
 
 
 def _wide(n, m=6):
@@ -59,3 +63,20 @@ def test_ranks_of_a_value_take_few_bytes(spark):
     df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i:02}" for i in range(m)])).withColumns({"asset": F.lit("a"), "d": F.monotonically_increasing_id()})
     moved = _moved(spark, lambda: synthesis.correlations_wide(df, [f"c{i:02}" for i in range(m)]).collect())
     assert 0 < moved < 40 * (~np.isnan(x)).sum()  # of the ranks among twelve others alone there were 100 bytes a value
+
+
+def test_composite_weights_compute_the_features_once(spark, monkeypatch, tmp_path):
+    us = lambda i: int(dt.datetime(2022, 1, 1 + i % 28, tzinfo=dt.timezone.utc).timestamp() * 1e6) + i // 28 * 28 * 86_400_000_000
+    rng, rows = np.random.default_rng(5), []
+    for a in range(6):
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 80)))
+        rows += [(us(i), us(i), x, x * 1.01, x * 0.99, x, 5.0 + rng.random(), 1.0, int(rng.integers(5, 50)), 2.0 + rng.random(), "x", f"S{a}", a * 1000 + i, 1) for i, x in enumerate(map(float, close))]
+    kinds = "ts_open bigint, ts_close bigint, open double, high double, low double, close double, volume double, quote_vol double, n_trades bigint, taker_buy_vol double, exchange string, symbol string, bar_id bigint, load_id int"
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "ohlcv_1d.parquet"))
+    calls, real = [], pipeline.signals_wide
+    monkeypatch.setattr(pipeline, "signals_wide", lambda *a, **k: calls.append(a) or real(*a, **k))
+    got = {r.feature_id: r.icir_weight for r in research.composite_weights(spark, str(tmp_path)).collect()}
+    assert len(calls) == 1
+    coefficients = pipeline.coefficients(research.daily_panel(spark, str(tmp_path)), research.STUDIED)
+    want = synthesis.composites(research.ic.summary(coefficients), synthesis.collinear(research._corr(spark, str(tmp_path))), 5)
+    assert got and got == {r.feature_id: r.icir_weight for r in want.collect()}
