@@ -80,3 +80,19 @@ def test_composite_weights_compute_the_features_once(spark, monkeypatch, tmp_pat
     coefficients = pipeline.coefficients(research.daily_panel(spark, str(tmp_path)), research.STUDIED)
     want = synthesis.composites(research.ic.summary(coefficients), synthesis.collinear(research._corr(spark, str(tmp_path))), 5)
     assert got and got == {r.feature_id: r.icir_weight for r in want.collect()}
+
+
+def test_collinear_pairs_among_many_columns_take_few_bytes(spark):
+    rng = np.random.default_rng(7)
+    n, m = 12_000, 12
+    x = rng.normal(size=(n, m))
+    x[:, 1] = x[:, 0] ** 3  # the same ranks
+    x[:, 2] = 0.05 * x[:, 2] - x[:, 0]
+    x[rng.random((n, m)) < 0.1] = np.nan
+    names = [f"c{i:02}" for i in range(m)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).withColumns({"asset": F.lit("a"), "d": F.monotonically_increasing_id()})
+    got = []
+    moved = _moved(spark, lambda: got.extend(synthesis.collinear(synthesis.correlations_wide(df, names)).collect()))
+    assert len(got) == m * (m - 1) // 2
+    assert {(r.f1, r.f2) for r in got if r.flagged} == {("c00", "c01"), ("c00", "c02"), ("c01", "c02")}
+    assert 0 < moved < 40 * (~np.isnan(x)).sum()
